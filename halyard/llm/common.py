@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def text_slices(batches, text: str = "text", most: int = 1 << 21):
         t = pa.Table.from_batches([batch])
         if not t.num_rows:
             continue
-        size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(t[text]), 0).to_numpy())
+        size = np.cumsum(pc.fill_null(pc.binary_length(t[text]), 0).to_numpy())
         at = 0
         while at < t.num_rows:
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
@@ -74,7 +75,7 @@ def text_slices(batches, text: str = "text", most: int = 1 << 21):
 def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
     """The texts of a column (null: empty) as one byte array and the offsets of each."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    a = pa.compute.fill_null(a, "").cast(pa.large_binary())
+    a = pc.fill_null(a, "").cast(pa.large_binary())
     if isinstance(a, pa.ChunkedArray):
         a = a.combine_chunks()
     off = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1 + a.offset)[a.offset:]

@@ -40,10 +40,10 @@ def targets(totals: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> DataFrame:
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
     level = ((F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
              / F.sum("_w").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-    full = F.col("_cap") <= F.col("_w") * F.col("_level")
+    # the level rises while the sources before are rightly clamped and falls once one is clamped that is not above its cap
     return (ranked.withColumn("_level", level)
-            .withColumn("_final", F.min(F.when(~full, F.col("_level"))).over(everything))
-            .select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_w") * F.col("_final"), F.col("_cap"))).alias("target")))
+            .withColumn("_final", F.max("_level").over(everything))
+            .select("source", "source_size", F.least(F.col("_cap"), F.col("_w") * F.col("_final")).alias("target")))
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), epochs: int = 3, seed: int = 7, cut: bool = True,
@@ -99,7 +99,7 @@ filled as (
          / sum(w) over (order by cap / w, source nulls last rows between current row and unbounded following) as lvl
   from ranked),
 goal as (
-  select source, source_size, least(cap, coalesce(w * (min(case when cap > w * lvl then lvl end) over ()), cap)) as target
+  select source, source_size, least(cap, w * (max(lvl) over ())) as target
   from filled),
 ordered as (
   select s.doc_id, s.size, g.source_size, g.target,

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,7 +85,7 @@ def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     Clashing names: columns of docs that are named like a finding are left out of the result.
     """
     spark = docs.sparkSession
-    folder = ledger or f"{shared_dir(spark)}/halyard/ledger-{spark.sparkContext.applicationId}-{id(docs)}-{hashlib.md5(str(docs.inputFiles()[:1]).encode()).hexdigest()[:12]}"
+    folder = ledger or f"{shared_dir(spark)}/halyard/ledger-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     new = blobs(docs)
