@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from . import mixing, secrets
+from . import langid, mixing, secrets
 from .common import table
 
 
@@ -16,5 +16,11 @@ def op2_secrets(spark, sf_dir):
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets}
+def op3_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out()))
+    return langid.identify(docs, model).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_language)}
 ORACLE_SQL = {"op1_mixing": mixing.ORACLE}
