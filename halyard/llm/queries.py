@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from . import langid, mixing, secrets
+from . import langid, mixing, packing, secrets
 from .common import table
 
 
@@ -22,5 +22,16 @@ def op3_language(spark, sf_dir):
     return langid.identify(docs, model).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_language)}
+def tokenizer_file() -> str:
+    """The default tokenizer; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_packing(spark, sf_dir):
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file()))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_language, op10_packing)}
 ORACLE_SQL = {"op1_mixing": mixing.ORACLE}
