@@ -115,3 +115,74 @@ def components(edges: DataFrame, name: str = "links", most_rounds: int = 60) ->
             return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(roots)
         seen = now
     raise RuntimeError("components: no fixed point; raise most_rounds")
+
+
+def whole_groups(batches, keys: list[str], rows: int = 20_000):
+    """Regroup sorted Arrow batches into tables of about `rows` rows that cut no group of equal `keys`."""
+    held: list[pa.Table] = []
+    n = 0
+
+    def last_change(t: pa.Table) -> int:
+        change = np.zeros(max(t.num_rows - 1, 0), bool)
+        for k in keys:
+            c = t[k].combine_chunks()
+            change |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), True).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(change)
+        return int(at[-1]) + 1 if len(at) else 0
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(pa.Table.from_batches([b]))
+        n += b.num_rows
+        if n >= rows:
+            t = pa.concat_tables(held).combine_chunks()
+            to = last_change(t)
+            if to:
+                yield t.slice(0, to).combine_chunks()
+            held, n = [t.slice(to)], t.num_rows - to
+    if n:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def bounds(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start, and the end."""
+    n = len(columns[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), n)
+
+
+def binary_rows(column, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column of packed numbers, and the offset of each row (null: empty)."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    a = pc.fill_null(a, b"").cast(pa.large_binary())
+    off = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1 + a.offset)[a.offset:]
+    data = np.frombuffer(a.buffers()[2] or b"", np.uint8)[off[0]:off[-1]]
+    size = np.dtype(dtype).itemsize
+    return data.view(dtype) if len(data) else np.zeros(0, dtype), (off - off[0]) // size
+
+
+BITMAP_BITS = 27
+
+
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """2**27 bits (16 MB, whatever the number of rows): one for the top bits of each 64-bit hash.
+
+    A filter that lets every member through and, the fuller it is, more of the rest; what follows it must be exact.
+    At most 2**21 words reach the driver.
+    """
+    top = F.shiftrightunsigned(F.col(column), 64 - BITMAP_BITS)
+    cells = hashes.select(F.shiftright(top, 6).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(%s, %d) & 63 as int))" % (column, 64 - BITMAP_BITS)).alias("b"))
+    got = cells.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    top = h.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    return (bits[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1) != 0

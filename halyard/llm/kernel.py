@@ -33,7 +33,7 @@ _CACHE: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_CACHE.get("p", ())) < n:
+    if len(_CACHE.get("p", ())) < max(n, 1):
         n2 = max(n, 1 << 16)
         _CACHE["p"], _CACHE["i"] = _odd_powers(BASE, n2), _odd_powers(INVERSE, n2)
     return _CACHE["p"][:n], _CACHE["i"][:n]
