@@ -77,11 +77,11 @@ def blobs(docs: DataFrame) -> DataFrame:
     return only(docs, "text").select(F.sha2(text, 256).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
 
 
-def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, ledger: str | None = None, carry_text: bool = True) -> DataFrame:
     """Findings for every row of docs(doc_id, text, ...): all its columns and those of the ledger's findings.
 
     `ledger` is the folder of the ledger, read if it exists and appended to (a new one in the shared folder if
-    None).  Null and empty text: no findings.  Rows that repeat are paths of their own and get the same findings.
+    None).  `text` is left out of the result without `carry_text`.  Null and empty text: no findings.  Rows that repeat are paths of their own and get the same findings.
     Clashing names: columns of docs that are named like a finding are left out of the result.
     """
     spark = docs.sparkSession
@@ -94,6 +94,6 @@ def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
         new = new.join(known, "blob", "left_anti")
     new.mapInArrow(_scan, FOUND).write.mode("append").parquet(folder)
     found = spark.read.schema(FOUND).parquet(folder).where(F.col("rules") == RULES)
-    names = [c for c in docs.columns if c not in found.columns]
+    names = [c for c in docs.columns if c not in found.columns and (carry_text or c != "text")]
     paths = docs.select(*[F.col(f"`{c}`") for c in names], F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob"))
     return paths.join(found, "blob")
