@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from . import langid, minhash, mixing, packing, secrets
+from . import langid, minhash, mixing, packing, pq, secrets
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_language(spark, sf_dir):
     return langid.identify(docs, model).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_pq(spark, sf_dir):
+    return pq.near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op8_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -37,5 +41,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_language, op8_minhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_language, op7_pq, op8_minhash, op10_packing)}
 ORACLE_SQL = {"op1_mixing": mixing.ORACLE}
