@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from . import langid, minhash, mixing, packing, pii, pq, secrets
+from . import langid, minhash, mixing, packing, pii, pq, secrets, webp
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_language(spark, sf_dir):
     return langid.identify(docs, model).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_media(spark, sf_dir):
+    return webp.read_back(webp.encode(table(spark, sf_dir, "documents")))
+
+
 def op6_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_language, op6_pii, op7_pq, op8_minhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_language, op4_media, op6_pii, op7_pq, op8_minhash, op10_packing)}
 ORACLE_SQL = {"op1_mixing": mixing.ORACLE}
