@@ -15,6 +15,8 @@ ranks among the pieces of that length go to which sequences and at what offset;
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -26,37 +28,56 @@ from pyspark.sql import functions as F
 from .common import only, stash, text_slices
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-WORDS_KEPT = 1 << 19
+WORDS_KEPT = 1 << 20
 
 
 class Encoder:
     """Token ids of whole texts.
 
-    The tokenizer drops white space and lets no token cross it, so a text's ids are those of its words, which are
-    kept for reuse (at most WORDS_KEPT of them; then the store starts anew).
+    The tokenizer drops white space, lets no token cross it, lower-cases, and parts letters from a mark that stands alone,
+    so a text's ids are those of its lower-cased words and marks.  These are kept for reuse (at most WORDS_KEPT of them;
+    then the store starts anew).  Texts beyond Latin-1 are only parted at spaces, as their lower case depends on normal forms.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
+    def learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 8192):
+            part = words[at: at + 8192]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum([len(w) + 1 for w in part])
+            cut = np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), ends) * 4
+            ids = np.array(got.ids, "<u4").tobytes()
+            cut = [0, *cut.tolist()]
+            self.known.update((w, ids[i:j]) for w, i, j in zip(part, cut[:-1], cut[1:], strict=True))
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [s.replace("\n", " ").split(" ") for s in texts]
+        split = [parted(s) for s in texts]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > WORDS_KEPT:
             self.known.clear()
             new = set().union(*split)
-        todo = list(new)
-        for at in range(0, len(todo), 8192):
-            part = todo[at: at + 8192]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn(list(new))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
 
+_LONE_MARK = re.compile(r"(?<=[a-z])[,.](?=[ \n]|$)")
+
+
+def parted(s: str) -> list[str]:
+    try:
+        s.encode("latin-1")
+    except UnicodeEncodeError:
+        return s.replace("\n", " ").split(" ")
+    return _LONE_MARK.sub(r" \g<0>", s.lower()).replace("\n", " ").split(" ")
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
