@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from . import langid, minhash, mixing, packing, pii, pq, secrets, webp
+from . import blocks, langid, minhash, mixing, packing, pii, pq, secrets, webp
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op8_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op9_blocks(spark, sf_dir):
+    return blocks.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def tokenizer_file() -> str:
     """The default tokenizer; the operator takes any path."""
     import public_tokenizers
@@ -49,5 +53,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_language, op4_media, op6_pii, op7_pq, op8_minhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_language, op4_media, op6_pii, op7_pq, op8_minhash, op9_blocks, op10_packing)}
 ORACLE_SQL = {"op1_mixing": mixing.ORACLE}
