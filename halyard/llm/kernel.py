@@ -53,6 +53,16 @@ def spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(U) * U(0x8EBC6AF09C88C6E3))
 
 
+def rolling(prefix: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` codes, from their prefix sums; not to be compared with those of `spans`."""
+    _, inv = _powers(len(prefix))
+    x = (prefix[size:] - prefix[:-size]) * inv[: len(prefix) - size]
+    x ^= x >> U(32)
+    x *= U(0xD6E8FEB86659FD93)
+    x ^= x >> U(29)
+    return x
+
+
 def byte_codes(data: np.ndarray, seed: int = 0) -> np.ndarray:
     return _CODES[seed][data]
 

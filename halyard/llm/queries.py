@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from . import blocks, langid, minhash, mixing, packing, pii, pq, secrets, webp
+from . import blocks, langid, minhash, mixing, packing, pii, pq, secrets, suffix, webp
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_media(spark, sf_dir):
     return webp.read_back(webp.encode(table(spark, sf_dir, "documents")))
 
 
+def op5_suffix(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_language, op4_media, op6_pii, op7_pq, op8_minhash, op9_blocks, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_language, op4_media, op5_suffix, op6_pii, op7_pq, op8_minhash, op9_blocks, op10_packing)}
 ORACLE_SQL = {"op1_mixing": mixing.ORACLE}
