@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .common import bitmap, bytes_of, in_bitmap, stash, text_slices
-from .repeats import RUNS, batch, keyed, removed_mask, whole_runs, with_cuts
+from .repeats import RUNS, after_first, batch, keyed, removed_mask, settled, with_cuts
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,8 +79,7 @@ def _runs(size: int, block: int, bits):
         for t in text_slices(batches):
             first, s = _hashed(t)
             text, a, lo, n = _anchored(first, s, size, block, bits.value)
-            r = K.spans(s, lo, lo + n - 1 + size)
-            yield batch(["kind", "a", "r", "doc_id", "t", "lo", "n"], [np.zeros(len(a), np.int32), a.view(np.int64), r.view(np.int64), t["doc_id"].combine_chunks().to_numpy()[text], t["t"].combine_chunks().to_numpy()[text], (lo - first[text]).astype(np.int64), n.astype(np.int64)])
+            yield settled(t, first, size, text, a, K.spans(s, lo, lo + n - 1 + size), lo, n, False)
     return run
 
 
@@ -93,8 +92,7 @@ def _windows(size: int, block: int, bits, unlike):
             text, a, lo, n = text[ok], a[ok], lo[ok], n[ok]
             row = np.repeat(np.arange(len(n)), n)
             at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
-            w = K.spans(s, at, at + size)
-            yield batch(["kind", "a", "r", "doc_id", "t", "lo", "n"], [np.zeros(len(w), np.int32), a[row].view(np.int64), w.view(np.int64), t["doc_id"].combine_chunks().to_numpy()[text[row]], t["t"].combine_chunks().to_numpy()[text[row]], (at - first[text[row]]).astype(np.int64), np.ones(len(w), np.int64)])
+            yield settled(t, first, size, text[row], a[row], K.spans(s, at, at + size), at, np.ones(len(at), np.int64), False)
     return run
 
 
@@ -126,14 +124,10 @@ def repeated_words(docs: DataFrame, size: int = 50, block: int = 25) -> DataFram
     shared = probes.groupBy("h").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most")
     anchors = spark.sparkContext.broadcast(bitmap(shared, "h"))
     runs = stash(texts.mapInArrow(_runs(size, block, anchors), RUNS), "word-runs")
-    first = F.min(F.struct("doc_id", "lo")).alias("f")
-    kinds = stash(runs.groupBy("a", "r").agg(first, F.max("doc_id").alias("most")), "word-kinds")
-    unlike = kinds.groupBy("a").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.min("f.doc_id").alias("least"), F.max("most").alias("most")).where("x <> y and least < most")
+    unlike = runs.where("kind = 0").groupBy("a").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("x <> y and least < most")
     edges = spark.sparkContext.broadcast(bitmap(unlike, "a"))
-    single = stash(texts.mapInArrow(_windows(size, block, anchors, edges), RUNS), "word-windows")
-    whole = whole_runs(runs, kinds.where("f.doc_id < most"), size, True)
-    some = whole_runs(single, single.groupBy("a", "r").agg(first, F.max("doc_id").alias("most")).where("f.doc_id < most"), size, True)
-    return whole.unionByName(some)
+    single = texts.mapInArrow(_windows(size, block, anchors, edges), RUNS)
+    return after_first(runs, size, False).unionByName(after_first(single, size, False))
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, block: int = 25) -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only
+from . import kernel as K
+from .common import bounds, only
 
 RUNS = "kind int, a bigint, r bigint, doc_id bigint, t bigint, lo bigint, n bigint"
 
@@ -53,10 +54,48 @@ def with_cuts(docs: DataFrame, intervals: DataFrame) -> DataFrame:
     return keyed(docs).join(cuts, ["doc_id", "t"], "left").select("doc_id", "text", "cuts")
 
 
-def whole_runs(runs: DataFrame, firsts: DataFrame, size: int, smaller_doc: bool) -> DataFrame:
-    """Intervals of the runs that a run with the same anchor and hash precedes (by document, or by document and place)."""
-    later = F.col("doc_id") > F.col("f.doc_id") if smaller_doc else (F.col("doc_id") > F.col("f.doc_id")) | ((F.col("doc_id") == F.col("f.doc_id")) & (F.col("lo") > F.col("f.lo")))
-    return runs.join(firsts.select("a", "r", "f"), ["a", "r"]).where(later).select("doc_id", "t", "lo", (F.col("lo") + F.col("n") - 1 + size).alias("hi"))
+def settled(t, first: np.ndarray, size: int, text, a, r, lo, n, by_place: bool) -> pa.RecordBatch:
+    """Rows of the runs of a slice (kind 0), and of the intervals of those that an earlier one in the slice is like (kind 1).
+
+    Earlier is a smaller document or, `by_place`, a smaller place in the same one.
+    """
+    doc, mark = t["doc_id"].combine_chunks().to_numpy(), t["t"].combine_chunks().to_numpy()
+    d, place = doc[text], lo - first[text]
+    o = np.lexsort((place, d, r, a))
+    g = bounds(a[o], r[o])
+    head = np.repeat(o[g[:-1]], np.diff(g))
+    later = np.zeros(len(o), bool)
+    later[o] = (d[o] > d[head]) | ((d[o] == d[head]) & (place[o] > place[head]) if by_place else False)
+    i, j = np.flatnonzero(~later), np.flatnonzero(later)
+    k, x, y = merged(text[j], lo[j], lo[j] + n[j] - 1 + size)
+    where = np.append(text[i], k)
+    own = K.mix(doc[k].view(np.uint64) + np.uint64(1))  # settled rows go anywhere
+    return batch(["kind", "a", "r", "doc_id", "t", "lo", "n"], [
+        np.append(np.zeros(len(i), np.int32), np.ones(len(k), np.int32)), np.append(a[i], own).view(np.int64), np.append(r[i], x.astype(np.uint64)).view(np.int64),
+        doc[where], mark[where], (np.append(lo[i], x) - first[where]).astype(np.int64), np.append(n[i], y - x).astype(np.int64)])
+
+
+def _least(by_place: bool):
+    """The first of the open runs that are alike, beside each of them.
+
+    Like runs of one slice have been settled there, so that a key has no more than about one row for each
+    slice of text, however many documents share it.
+    """
+    here = F.struct("doc_id", "lo") if by_place else F.col("doc_id")
+    return here, F.min(F.when(F.col("kind") == 0, here)).over(Window.partitionBy("a", "r"))
+
+
+def after_first(runs: DataFrame, size: int, by_place: bool) -> DataFrame:
+    """Intervals of the runs that are like an earlier one, and those that are settled already."""
+    done, (here, least) = F.col("kind") == 1, _least(by_place)
+    out = runs.withColumn("_least", least).where(done | (here > F.col("_least")))
+    return out.select("doc_id", "t", "lo", (F.col("lo") + F.col("n") + F.when(done, 0).otherwise(size - 1)).alias("hi"))
+
+
+def first_runs(runs: DataFrame) -> DataFrame:
+    """The first of the runs that are alike, by document and place."""
+    here, least = _least(True)
+    return runs.withColumn("_least", least).where((F.col("kind") == 0) & (here == F.col("_least"))).drop("_least")
 
 
 def batch(names: list[str], columns) -> pa.RecordBatch:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .common import binary_rows, bitmap, bounds, bytes_of, in_bitmap, stash, text_slices, whole_groups
-from .repeats import RUNS, batch, keyed, merged, removed_mask, whole_runs, with_cuts
+from .repeats import RUNS, after_first, batch, first_runs, keyed, merged, removed_mask, settled, with_cuts
 
 GRAM = 32
 MOST_STRINGS = 256
@@ -225,62 +225,56 @@ def _anchors(size: int, gram: int):
     return run
 
 
-def _ids(t, text):
-    return t["doc_id"].combine_chunks().to_numpy()[text], t["t"].combine_chunks().to_numpy()[text]
-
-
 def _runs(size: int, gram: int, bits):
-    """Runs of repeated anchors (kind 0), and the intervals of runs that an earlier one in their own text is like (kind 1)."""
-
     def run(batches):
         for t, data, off in _slices(batches):
             s, text, a, lo, n = _runs_of(data, off, size, gram)
             ok = in_bitmap(bits.value, a)
             text, a, lo, n = text[ok], a[ok], lo[ok], n[ok]
-            r = K.spans(s, lo, lo + n - 1 + size)
-            o = np.lexsort((lo, r, a, text))
-            again = np.zeros(len(o), bool)
-            again[1:] = (text[o][1:] == text[o][:-1]) & (a[o][1:] == a[o][:-1]) & (r[o][1:] == r[o][:-1])
-            i, j = np.sort(o[~again]), o[again]
-            g, x, y = merged(text[j], lo[j], lo[j] + n[j] - 1 + size)
-            where = np.append(text[i], g)
-            d, k = _ids(t, where)
-            zero = np.zeros(len(g), np.int64)
-            yield batch(["kind", "a", "r", "doc_id", "t", "lo", "n"], [np.append(np.zeros(len(i), np.int32), np.ones(len(g), np.int32)), np.append(a[i].view(np.int64), zero), np.append(r[i].view(np.int64), zero),
-                                                                     d, k, np.append(lo[i], x) - off[where], np.append(n[i], y - x)])
+            yield settled(t, off, size, text, a, K.spans(s, lo, lo + n - 1 + size), lo, n, True)
     return run
 
 
-STRINGS = "a bigint, r bigint, doc_id bigint, t bigint, lo bigint, n bigint, s binary"
+def _name(a: np.ndarray, r: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """A hash of one run at one place."""
+    h = K.mix(a.view(np.uint64) ^ K.mix(r.view(np.uint64)))
+    return K.mix(K.mix(h + doc.view(np.uint64)) + lo.astype(np.uint64))
+
 
+def _names(batches):
+    for b in batches:
+        yield batch(["h"], [_name(*(b[c].to_numpy() for c in ("a", "r", "doc_id", "lo"))).view(np.int64)])
 
-def _strings(size: int, gram: int, unlike, hot):
-    """Strings of anchors with unlike runs; of hot anchors, single windows without their bytes."""
+
+def _strings(size: int, gram: int, unlike, hot, firsts):
+    """The first of like runs as strings, of anchors with unlike ones that are not hot."""
 
     def run(batches):
         for t, data, off in _slices(batches):
             s, text, a, lo, n = _runs_of(data, off, size, gram)
-            ok = in_bitmap(unlike.value, a)
+            ok = in_bitmap(unlike.value, a) & ~in_bitmap(hot.value, a)
             text, a, lo, n = text[ok], a[ok], lo[ok], n[ok]
-            many = in_bitmap(hot.value, a)
-            i = np.flatnonzero(~many)
-            r = K.spans(s, lo, lo + n - 1 + size)
-            if len(i):  # of like strings in one slice the first is enough
-                doc, _ = _ids(t, text[i])
-                o = np.lexsort((lo[i], doc, r[i], a[i]))
-                new = np.append(True, (a[i][o][1:] != a[i][o][:-1]) | (r[i][o][1:] != r[i][o][:-1]))
-                i = i[o[new]]
-            j = np.flatnonzero(many)
-            row = np.repeat(j, n[j])
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n[j]) - n[j], n[j]) + lo[row]
-            w = K.spans(s, at, at + size)
+            doc, place = t["doc_id"].combine_chunks().to_numpy()[text], lo - off[text]
+            ok = in_bitmap(firsts.value, _name(a, K.spans(s, lo, lo + n - 1 + size), doc, place))
             raw = data.tobytes()
-            d, k = _ids(t, np.append(text[i], text[row]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(a[i], a[row]).view(np.int64)), pa.array(np.append(r[i], w).view(np.int64)), pa.array(d), pa.array(k),
-                 pa.array(np.append(lo[i] - off[text[i]], at - off[text[row]]).astype(np.int64)), pa.array(np.append(n[i], np.ones(len(row), np.int64)).astype(np.int64)),
-                 pa.array([raw[x: x + y] for x, y in zip(lo[i].tolist(), (n[i] - 1 + size).tolist(), strict=True)] + [None] * len(row), pa.binary())],
-                names=["a", "r", "doc_id", "t", "lo", "n", "s"])
+            mark = t["t"].combine_chunks().to_numpy()[text[ok]]
+            cut = [raw[x: y] for x, y in zip(lo[ok].tolist(), (lo[ok] + n[ok] - 1 + size).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok].view(np.int64)), pa.array(doc[ok]), pa.array(mark), pa.array(place[ok].astype(np.int64)), pa.array(n[ok].astype(np.int64)), pa.array(cut, pa.binary())],
+                                             names=["a", "doc_id", "t", "lo", "n", "s"])
+    return run
+
+
+def _windows(size: int, gram: int, hot):
+    """The windows of hot anchors, each by itself."""
+
+    def run(batches):
+        for t, data, off in _slices(batches):
+            s, text, a, lo, n = _runs_of(data, off, size, gram)
+            ok = in_bitmap(hot.value, a)
+            text, a, lo, n = text[ok], a[ok], lo[ok], n[ok]
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
+            yield settled(t, off, size, text[row], a[row], K.spans(s, at, at + size), at, np.ones(len(at), np.int64), True)
     return run
 
 
@@ -331,20 +325,15 @@ def repeated_bytes(docs: DataFrame, size: int = 100, gram: int = GRAM) -> DataFr
     texts = keyed(docs).where("doc_id is not null")
     often = texts.mapInArrow(_anchors(size, gram), "a bigint, c int").groupBy("a").agg(F.sum("c").alias("c")).where("c > 1")
     bits = spark.sparkContext.broadcast(bitmap(often, "a"))
-    both = stash(texts.mapInArrow(_runs(size, gram, bits), RUNS), "byte-runs")
-    runs = both.where("kind = 0")
-    kinds = stash(runs.groupBy("a", "r").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.count("*").alias("c")), "byte-kinds")
-    count = stash(kinds.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "byte-anchors")
-    unlike, hot = (spark.sparkContext.broadcast(bitmap(x, "a")) for x in (count, count.where(F.col("m") > MOST_STRINGS)))
-    strings = stash(texts.mapInArrow(_strings(size, gram, unlike, hot), STRINGS), "byte-strings")
-    # like strings of several slices: only the first is sorted
-    some = strings.where("s is not null")
-    lead = some.groupBy("a", "r").agg(F.min(F.struct("doc_id", "lo", "t", "n", "s")).alias("x")).select("a", "r", "x.*")
-    shards = lead.repartition("a").sortWithinPartitions("a").select("a", "doc_id", "t", "lo", "n", "s").mapInArrow(_shards(size), "doc_id bigint, t bigint, lo bigint, hi bigint")
-    single = strings.where("s is null")
-    firsts = single.groupBy("a", "r").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    return (both.where("kind = 1").select("doc_id", "t", "lo", (F.col("lo") + F.col("n")).alias("hi"))
-            .unionByName(whole_runs(runs, kinds.where("c > 1"), size, False)).unionByName(shards).unionByName(whole_runs(single, firsts, size, False)))
+    runs = stash(texts.mapInArrow(_runs(size, gram, bits), RUNS), "byte-runs")
+    kinds = runs.where("kind = 0").select("a", "r").distinct().groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
+    kinds = stash(kinds, "byte-anchors")
+    unlike, hot = (spark.sparkContext.broadcast(bitmap(x, "a")) for x in (kinds, kinds.where(F.col("m") > MOST_STRINGS)))
+    firsts = spark.sparkContext.broadcast(bitmap(first_runs(runs).select("a", "r", "doc_id", "lo").mapInArrow(_names, "h bigint"), "h"))
+    strings = texts.mapInArrow(_strings(size, gram, unlike, hot, firsts), "a bigint, doc_id bigint, t bigint, lo bigint, n bigint, s binary")
+    shards = strings.repartition("a").sortWithinPartitions("a").mapInArrow(_shards(size), "doc_id bigint, t bigint, lo bigint, hi bigint")
+    single = texts.mapInArrow(_windows(size, gram, hot), RUNS)
+    return after_first(runs, size, True).unionByName(shards).unionByName(after_first(single, size, True))
 
 
 def _cut(batches):
