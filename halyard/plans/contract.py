@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng, stats
 from ..functions import vectors as vec
-from ..operators import effort, evolve, ivf, knn, validity
+from ..operators import effort, evolve, ivf, knn, models, validity
 
 K, CELLS, EFFORT = 10, 20, 5
 STATES = ("S0", "id_2", "id_8", "del_2", "del_8")
@@ -722,3 +722,22 @@ def mcnemar_counts(spark, d):
 @query(TO_FIXED + " select round(regr_slope(mean_recall, ln(ef)), 9) as slope from fixed")
 def ols_slope(spark, d):
     return effort.fixed_curve(base_curve(spark, d), K).agg(F.round(F.regr_slope("mean_recall", F.ln(F.col("ef").cast("double"))), 9).alias("slope"))
+
+
+# --- frozen models, applied as expressions -------------------------------------------------------------------------
+
+TREE = {"kind": "tree", "classes": ["high", "low"], "features": ["knn_dist", "lid"], "root": {
+    "feature": "knn_dist", "threshold": 1.2, "low": {"p": [0.25, 0.75]}, "high": {"feature": "lid", "threshold": 40.0, "low": {"p": [0.5, 0.5]}, "high": {"p": [0.9, 0.1]}}}}
+LOGIT = {"kind": "logistic", "classes": [0, 1], "features": ["knn_dist", "concentration"], "mean": [1.2, 0.95], "scale": [0.02, 0.01], "coef": [[0.7, -0.3]], "intercept": [0.1]}
+
+
+@query("with " + VECTORS + KNN + FEATURES + """, f as (select query_id, round(knn_dist, 6)::float::double as a, round(lid, 6)::float::double as b from feat)
+select query_id, case when a <= 1.2::double then 0.25::double when b <= 40.0::double then 0.5::double else 0.9::double end as p_high, case when a <= 1.2::double then 0 when b <= 40.0::double then 1 else 2 end as leaf from f""")
+def tree_inference(spark, d):
+    f = features_of(spark, d).select("query_id", F.round("knn_dist", 6).alias("knn_dist"), F.round("lid", 6).alias("lid"))
+    return f.select("query_id", models.probability(TREE, "high").alias("p_high"), models.leaf(TREE).alias("leaf"))
+
+
+@query("with " + VECTORS + KNN + FEATURES + " select query_id, round(1 / (1 + exp(-(0.1::double + (knn_dist - 1.2::double) / 0.02::double * 0.7::double + (concentration - 0.95::double) / 0.01::double * -0.3::double))), 9) as p from feat")
+def logistic_inference(spark, d):
+    return features_of(spark, d).select("query_id", F.round(models.probability(LOGIT, 1), 9).alias("p"))
