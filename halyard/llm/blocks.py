@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .common import bitmap, bytes_of, in_bitmap, stash, text_slices
-from .repeats import RUNS, after_first, batch, keyed, removed_mask, settled, with_cuts
+from .repeats import RUNS, after_first, batch, cut_out, keyed, removed_mask, settled
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -137,4 +137,4 @@ def remove_repeats(docs: DataFrame, size: int = 50, block: int = 25) -> DataFram
     Null and empty texts have no words.  Rows with null doc_id are compared with nothing.  Rows with one doc_id are one
     document: they don't remove from each other.  Further columns are not read.
     """
-    return with_cuts(docs, repeated_words(docs, size, block)).mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    return cut_out(docs, repeated_words(docs, size, block), _cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")

@@ -170,13 +170,14 @@ BITMAP_BITS = 27
 
 
 def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """2**27 bits (16 MB, whatever the number of rows): one for the top bits of each 64-bit hash.
+    """2**27 bits (16 MB, whatever the number of rows): two for each 64-bit hash, at its first and its next 27 bits.
 
     A filter that lets every member through and, the fuller it is, more of the rest; what follows it must be exact.
     At most 2**21 words reach the driver.
     """
-    top = F.shiftrightunsigned(F.col(column), 64 - BITMAP_BITS)
-    cells = hashes.select(F.shiftright(top, 6).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(%s, %d) & 63 as int))" % (column, 64 - BITMAP_BITS)).alias("b"))
+    at = lambda skip: F.shiftrightunsigned(F.shiftleft(F.col(column), skip), 64 - BITMAP_BITS)
+    both = hashes.select(F.explode(F.array(at(0), at(BITMAP_BITS))).alias("p"))
+    cells = both.select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
     got = cells.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
@@ -184,5 +185,11 @@ def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
 
 
 def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    top = h.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
-    return (bits[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1) != 0
+    def has(p: np.ndarray) -> np.ndarray:
+        return (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) != 0
+
+    h = h.view(np.uint64)
+    out = has(h >> np.uint64(64 - BITMAP_BITS))
+    some = np.flatnonzero(out)
+    out[some] = has((h[some] << np.uint64(BITMAP_BITS)) >> np.uint64(64 - BITMAP_BITS))
+    return out

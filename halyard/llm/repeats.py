@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import bounds, only
+from .common import bitmap, bounds, in_bitmap, only, stash
 
-RUNS = "kind int, a bigint, r bigint, doc_id bigint, t bigint, lo bigint, n bigint"
+RUNS = "kind int, a bigint, r bigint, doc_id bigint, t int, lo bigint, n bigint"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, t, text): t tells apart the texts of rows with one doc_id."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return only(docs, "doc_id", "text").select("doc_id", F.xxhash64(text).alias("t"), text.alias("text"))
+    return only(docs, "doc_id", "text").select("doc_id", F.hash(text).alias("t"), text.alias("text"))
 
 
 def merged(group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,10 +48,28 @@ def removed_mask(n: int, cuts) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def with_cuts(docs: DataFrame, intervals: DataFrame) -> DataFrame:
-    """(doc_id, text, cuts) for every row: the intervals of (doc_id, t, lo, hi) that concern it, null if there are none."""
-    cuts = intervals.groupBy("doc_id", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
-    return keyed(docs).join(cuts, ["doc_id", "t"], "left").select("doc_id", "text", "cuts")
+def cut_out(docs: DataFrame, intervals: DataFrame, cut, schema: str) -> DataFrame:
+    """`cut` over every row of docs: batches of (doc_id, text, cuts), cuts null where nothing is removed.
+
+    Texts that a filter of fixed size knows to be left alone are cut where they are read; only the others are shuffled
+    to meet their intervals (doc_id, t, lo, hi).
+    """
+    cuts = stash(intervals.groupBy("doc_id", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")), "cuts")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(cuts.select(F.xxhash64("doc_id", "t").alias("h")), "h"))
+    texts = keyed(docs).withColumn("h", F.xxhash64("doc_id", "t"))
+    none = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+
+    def outside(batches):
+        for b in batches:
+            b = b.filter(pa.array(~in_bitmap(bits.value, b["h"].to_numpy())))
+            yield from cut([pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.nulls(b.num_rows, none)], names=["doc_id", "text", "cuts"])] if b.num_rows else [])
+
+    def inside(batches):
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(bits.value, b["h"].to_numpy()))).select(["doc_id", "t", "text"])
+
+    met = texts.mapInArrow(inside, "doc_id bigint, t int, text string").join(cuts, ["doc_id", "t"], "left").select("doc_id", "text", "cuts")
+    return texts.mapInArrow(outside, schema).unionByName(met.mapInArrow(cut, schema))
 
 
 def settled(t, first: np.ndarray, size: int, text, a, r, lo, n, by_place: bool) -> pa.RecordBatch:

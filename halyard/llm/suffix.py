@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .common import binary_rows, bitmap, bounds, bytes_of, in_bitmap, stash, text_slices, whole_groups
-from .repeats import RUNS, after_first, batch, first_runs, keyed, merged, removed_mask, settled, with_cuts
+from .repeats import RUNS, after_first, batch, cut_out, first_runs, keyed, merged, removed_mask, settled
 
 GRAM = 32
 MOST_STRINGS = 256
@@ -330,8 +330,8 @@ def repeated_bytes(docs: DataFrame, size: int = 100, gram: int = GRAM) -> DataFr
     kinds = stash(kinds, "byte-anchors")
     unlike, hot = (spark.sparkContext.broadcast(bitmap(x, "a")) for x in (kinds, kinds.where(F.col("m") > MOST_STRINGS)))
     firsts = spark.sparkContext.broadcast(bitmap(first_runs(runs).select("a", "r", "doc_id", "lo").mapInArrow(_names, "h bigint"), "h"))
-    strings = texts.mapInArrow(_strings(size, gram, unlike, hot, firsts), "a bigint, doc_id bigint, t bigint, lo bigint, n bigint, s binary")
-    shards = strings.repartition("a").sortWithinPartitions("a").mapInArrow(_shards(size), "doc_id bigint, t bigint, lo bigint, hi bigint")
+    strings = texts.mapInArrow(_strings(size, gram, unlike, hot, firsts), "a bigint, doc_id bigint, t int, lo bigint, n bigint, s binary")
+    shards = strings.repartition("a").sortWithinPartitions("a").mapInArrow(_shards(size), "doc_id bigint, t int, lo bigint, hi bigint")
     single = texts.mapInArrow(_windows(size, gram, hot), RUNS)
     return after_first(runs, size, True).unionByName(shards).unionByName(after_first(single, size, True))
 
@@ -360,4 +360,4 @@ def remove_repeats(docs: DataFrame, size: int = 100, gram: int = GRAM) -> DataFr
     doc_id are compared with nothing.  Rows with one doc_id are versions of one document: of equal windows those at the smallest
     place stay, in each version.  Further columns are not read.
     """
-    return with_cuts(docs, repeated_bytes(docs, size, gram)).mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return cut_out(docs, repeated_bytes(docs, size, gram), _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
