@@ -130,13 +130,13 @@ def interpolated_cost(fixed: DataFrame, recalls: DataFrame) -> DataFrame:
 
 
 def two_effort_mix(fixed: DataFrame, target: float, *by: str) -> DataFrame:
-    """(by..., ef_lo, ef_hi, w_hi): the two efforts around a mean recall and the share of the larger; null if none reaches it."""
+    """(by..., ef_lo, ef_hi, w_hi): the two efforts around a mean recall and the share of the larger; no row if none reaches it."""
     order = Window.partitionBy(*by).orderBy("ef")
     steps = fixed.withColumn("_r", F.lag("mean_recall").over(order)).withColumn("_e", F.lag("ef").over(order)).where(F.col("mean_recall") >= target - 1e-12)
     first = steps.groupBy(*by).agg(F.min(F.struct("ef", "mean_recall", "_e", "_r")).alias("s"))
     pure = F.col("s._e").isNull() | (F.abs(F.col("s.mean_recall") - target) < 1e-15)
     w = (target - F.col("s._r")) / (F.col("s.mean_recall") - F.col("s._r"))
-    return first.select(*by, F.when(pure, F.col("s.ef")).otherwise(F.col("s._e")).alias("ef_lo"), F.col("s.ef").alias("ef_hi"), F.when(pure, 1.0).otherwise(w).alias("w_hi"))
+    return first.select(*by, F.when(pure, F.col("s.ef")).otherwise(F.col("s._e")).alias("ef_lo"), F.col("s.ef").alias("ef_hi"), F.when(pure, 1.0).otherwise(w).alias("w_hi")).where("ef_hi is not null")
 
 
 def assign_mix(queries: DataFrame, mix: DataFrame, uniform: Column, *by: str) -> DataFrame:

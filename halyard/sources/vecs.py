@@ -24,7 +24,7 @@ class VectorFileError(ValueError):
 def dimension(spark: SparkSession, path: str) -> tuple[int, int]:
     """(dimension, rows) of a file, checked against its size."""
     row = spark.read.format("binaryFile").load(path).select("length").first()
-    size = row[0]
+    size = row[0] if row else 0
     if size < 4:
         raise VectorFileError(f"{path}: no record")
     jvm = spark._jvm

@@ -1 +1 @@
-"""See the package README for what belongs here."""
+"""A bounded update log as a stream: the table of live vectors, kept by micro-batches."""
