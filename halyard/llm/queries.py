@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from . import blocks, langid, minhash, mixing, packing, pii, pq, secrets, suffix, webp
+from . import blocks, langid, minhash, mixing, oracles, packing, pii, pq, secrets, suffix, webp
 from .common import table
 
 
@@ -58,4 +58,4 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_language, op4_media, op5_suffix, op6_pii, op7_pq, op8_minhash, op9_blocks, op10_packing)}
-ORACLE_SQL = {"op1_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_suffix": oracles.OP5, "op7_pq": oracles.OP7, "op8_minhash": oracles.OP8, "op9_blocks": oracles.OP9}
