@@ -3,7 +3,7 @@
 The lengths of all pieces are counted first; there are at most `capacity` of them, so the counts have a size
 bound that does not depend on the corpus, and the packing is planned on counts alone:
 
-1. lengths above a quarter of the capacity are sorted and cut into groups of equal cardinality, each rounded up to its largest;
+1. lengths above a share (a quarter or a half) of the capacity are sorted and cut into groups of equal cardinality, each rounded up to its largest;
 2. a linear programme over configurations of these few sizes, solved by column generation with a knapsack
    for pricing, says how many sequences of each configuration to open; what its rounding down leaves is packed first-fit;
 3. actual lengths take the places of the rounded ones, so every gap is known exactly;
@@ -290,7 +290,8 @@ def pack(cut: DataFrame, capacity: int = 4096, bucket_rows: int = 50_000) -> Dat
     spark = cut.sparkSession
     # counts by length: at most `capacity` rows reach the driver
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = min((plan(counts, capacity, how_many=k) for k in (16, 24, 32)), key=sequences_of)
+    # planning is cheap, so several bounds of what is large and numbers of groups are tried; the fewest sequences win
+    table = min((plan(counts, capacity, share, k) for share in (4, 2) for k in (16, 24, 32)), key=sequences_of)
     buckets = max(16, -(-sum(counts.values()) // bucket_rows))
     cut = cut.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     cells = cut.groupBy("length", "_b").agg(F.count("*").alias("_n"))
