@@ -118,6 +118,11 @@ def cheapest_fixed(fixed: DataFrame, recall: float) -> DataFrame:
     return fixed.where(F.col("mean_recall") >= recall - SLACK).agg(F.min("ef").alias("ef"))
 
 
+def search_cap(fixed: DataFrame, recall: float = 0.99) -> int | None:
+    """The smallest effort whose mean recall is at least this: the cap of the adaptive policy."""
+    return cheapest_fixed(fixed, recall).first()["ef"]
+
+
 def interpolated_cost(fixed: DataFrame, recalls: DataFrame) -> DataFrame:
     """(recall, cost): cost at a mean recall, linear between the efforts around it; infinite if no effort reaches it."""
     order = Window.orderBy("ef")

@@ -137,3 +137,25 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     keep = [c for c in a.columns if c in b.columns and c != "experiment_id"]
     a, b = a.select(keep), b.select(keep)
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def established(spark: SparkSession, path: str, make) -> DataFrame:
+    """A table that is made once; a later run must make the same rows, or it is an error."""
+    again = make()
+    first = cached(spark, path, lambda: again)
+    if not same_rows(first, again):
+        raise TableError(f"{path} holds other rows than this run makes")
+    return first
+
+
+def run_steps(spark: SparkSession, folder: str, steps: list[tuple[str, object]], log: list[str] | None = None) -> dict[str, DataFrame]:
+    """Run (name, function of the tables so far) in order, each to a table of its own; steps that are done are skipped."""
+    out: dict[str, DataFrame] = {}
+    for name, make in steps:
+        def step(make=make, name=name):
+            if log is not None:
+                log.append(name)
+            return make(out)
+
+        out[name] = cached(spark, f"{folder}/{name}", step)
+    return out

@@ -224,6 +224,19 @@ def test_search_is_the_same_for_any_partitioning(spark, cloud):
     assert rows(1) == rows(5) and len(rows(2)) == 40
 
 
+def test_graph_as_a_table(spark, cloud):
+    _, q, base, queries = cloud
+    blob = graph.build(base, [42], 8, 64).first()["graph"]
+    again = graph.from_table(graph.to_table(spark, blob), base, 8, 64)
+    rows = lambda g: sorted(map(repr, graph.search(g, queries, 10, [20]).collect()))
+    assert rows(again) == rows(blob)
+
+
+def test_search_cap(spark):
+    fixed = spark.createDataFrame([(10, 0.9), (20, 0.99), (40, 1.0)], "ef bigint, mean_recall double")
+    assert effort.search_cap(fixed) == 20 and effort.search_cap(fixed, 1.1) is None
+
+
 # --- evolution, validity, models -----------------------------------------------------------------------------------
 
 

@@ -1,11 +1,13 @@
 """Files: round trips, truncation, strict headers, frozen artifacts; and the update stream."""
 
+import copy
+import json
 import struct
 
 import numpy as np
 import pytest
 
-from halyard.sources import tables, vecs
+from halyard.sources import config, tables, vecs
 from halyard.streaming import live
 
 
@@ -97,3 +99,40 @@ def test_update_stream(spark, tmp_path):
     got = spark.read.parquet(live.version_path(str(tmp_path / "live"), 1)).collect()
     assert sorted((r["vec_id"], r["embedding"][0]) for r in got) == [(2, 9.0), (4, 4.0)]
     assert spark.read.parquet(str(tmp_path / "truth")).first()["vec_id"] == 4
+
+
+GOOD = {"name": "a", "data": "d", "index": {"kind": "ivf", "m": 16, "build_effort": 200, "seeds": [42, 43], "cells": 20}, "sweep": {"k": 10, "least": 10, "most": 64, "ratio": 1.05, "target": 1}, "split": {"tests": 5, "seed": 1}, "states": ["S0", "id_8"]}
+
+
+def test_configurations(tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps(GOOD))
+    c = config.load(str(tmp_path / "c.json"))
+    assert c.sweep.target == 1.0 and config.cells(c) == [(42, "S0"), (42, "id_8"), (43, "S0"), (43, "id_8")]
+
+    def bad(path, value):
+        x = copy.deepcopy(GOOD)
+        *up, last = path.split(".")
+        at = x
+        for p in up:
+            at = at[p]
+        if value is None:
+            del at[last]
+        else:
+            at[last] = value
+        with pytest.raises(config.ConfigError):
+            config.parse(x)
+
+    for path, value in (("name", None), ("index.m", None), ("index.extra", 1), ("index.m", 1), ("index.m", "16"), ("index.seeds", [1, 1]), ("index.seeds", ["a"]), ("sweep.ratio", 1.0), ("sweep.target", 1.5), ("states", ["id_8"]), ("split", 3)):
+        bad(path, value)
+
+
+def test_steps_resume(spark, tmp_path):
+    log = []
+    steps = [("a", lambda t: spark.range(3)), ("b", lambda t: t["a"].selectExpr("id * 2 as id"))]
+    for _ in range(2):
+        out = tables.run_steps(spark, str(tmp_path), steps, log)
+    assert log == ["a", "b"] and sorted(r[0] for r in out["b"].collect()) == [0, 2, 4]
+    tables.established(spark, str(tmp_path / "s"), lambda: spark.range(4))
+    tables.established(spark, str(tmp_path / "s"), lambda: spark.range(4))
+    with pytest.raises(tables.TableError):
+        tables.established(spark, str(tmp_path / "s"), lambda: spark.range(5))
