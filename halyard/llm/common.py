@@ -58,7 +58,7 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def text_slices(batches, text: str = "text", most: int = 1 << 21):
+def text_slices(batches, text: str = "text", most: int = 1 << 20):
     """Cut Arrow batches into slices of about `most` bytes of text (a longer text is a slice of its own)."""
     for batch in batches:
         t = pa.Table.from_batches([batch])
