@@ -174,8 +174,8 @@ def identify(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",))
 
     def run(batches):
         for t in text_slices(batches, most=1 << 20):
-            for at in range(0, t.num_rows, 512):
-                part = t.slice(at, 512).combine_chunks()
+            for at in range(0, t.num_rows, 256):
+                part = t.slice(at, 256).combine_chunks()
                 lang, score = predict(model, part["text"].combine_chunks())
                 cols = [part[c].combine_chunks() for c in carry] + [pa.array(lang, pa.string()), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*carry, "lang_pred", "score"])
