@@ -84,13 +84,18 @@ def settled(t, first: np.ndarray, size: int, text, a, r, lo, n, by_place: bool)
     head = np.repeat(o[g[:-1]], np.diff(g))
     later = np.zeros(len(o), bool)
     later[o] = (d[o] > d[head]) | ((d[o] == d[head]) & (place[o] > place[head]) if by_place else False)
-    i, j = np.flatnonzero(~later), np.flatnonzero(later)
+    i, j = o[~later[o]], np.flatnonzero(later)
     k, x, y = merged(text[j], lo[j], lo[j] + n[j] - 1 + size)
+    # like runs of one text share their fate, so those that overlap are one row, however often a text repeats itself
+    end = lo[i] + n[i] - 1 + size
+    new = np.append(True, (text[i][1:] != text[i][:-1]) | (a[i][1:] != a[i][:-1]) | (r[i][1:] != r[i][:-1]) | (lo[i][1:] > end[:-1]))[: len(i)]
+    b = np.flatnonzero(new)
+    i, n_open = i[b], end[np.append(b[1:], len(end))[: len(b)] - 1] - lo[i[b]] - size + 1
     where = np.append(text[i], k)
     own = K.mix(doc[k].view(np.uint64) + np.uint64(1))  # settled rows go anywhere
     return batch(["kind", "a", "r", "doc_id", "t", "lo", "n"], [
         np.append(np.zeros(len(i), np.int32), np.ones(len(k), np.int32)), np.append(a[i], own).view(np.int64), np.append(r[i], x.astype(np.uint64)).view(np.int64),
-        doc[where], mark[where], (np.append(lo[i], x) - first[where]).astype(np.int64), np.append(n[i], y - x).astype(np.int64)])
+        doc[where], mark[where], (np.append(lo[i], x) - first[where]).astype(np.int64), np.append(n_open, y - x).astype(np.int64)])
 
 
 def _least(by_place: bool):
