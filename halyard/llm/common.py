@@ -7,6 +7,7 @@ them.  They stay until ``release`` or until the owner of that folder clears it,
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -58,6 +59,15 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and the executor needs it for others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        pass
+
+
 def text_slices(batches, text: str = "text", most: int = 1 << 20):
     """Cut Arrow batches into slices of about `most` bytes of text (a longer text is a slice of its own)."""
     for batch in batches:
@@ -70,6 +80,7 @@ def text_slices(batches, text: str = "text", most: int = 1 << 20):
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
             yield t.slice(at, to - at)
             at = to
+    give_back()
 
 
 def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +154,7 @@ def whole_groups(batches, keys: list[str], rows: int = 20_000):
             held, n = [t.slice(to)], t.num_rows - to
     if n:
         yield pa.concat_tables(held).combine_chunks()
+    give_back()
 
 
 def bounds(*columns: np.ndarray) -> np.ndarray:
