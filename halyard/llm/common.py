@@ -98,8 +98,8 @@ def components(edges: DataFrame, name: str = "links", most_rounds: int = 60) ->
     """(id, component_id) for every id in edges (a, b): the smallest id reachable.
 
     Alternating large-star and small-star rounds: each is one combinable minimum per vertex and
-    an equi-join, so a hub costs one partial row per task and its join can be split.  Every round is
-    written to the shared folder.  Null ends and loops link nothing; repeated edges count once.
+    an equi-join.  The minima are written before they are joined, as a join on the exchange of an aggregate could not be split
+    where a hub has very many links.  Every round is written to the shared folder, too.  Null ends and loops link nothing; repeated edges count once.
     """
     spark = edges.sparkSession
     e = stash(edges.where("a is not null and b is not null and a <> b")
@@ -113,9 +113,9 @@ def components(edges: DataFrame, name: str = "links", most_rounds: int = 60) ->
         return spark.createDataFrame([], "id bigint, component_id bigint")
     for _ in range(most_rounds):
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stash(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
         linked = large.join(low, "u")
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(
             low.select("u", F.col("m").alias("v"))).distinct()
