@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     able = every.where("n_shingles > 0 and doc_id is not null")
     classes = able.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = stash(classes, "classes")
-    keyed = classes.select("rep", "sketch").mapInArrow(_keys, "key bigint, rep bigint").distinct()
+    keyed = classes.select("rep", "sketch").mapInArrow(_keys, "key bigint, rep bigint")
     least = percent / 100 - 0.4
     listed = cells(keyed, "key", "rep", LIST_BLOCK).join(classes.select("rep", "n_shingles", "sketch"), "rep")
     listed = listed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
