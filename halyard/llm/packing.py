@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import only, stash, text_slices
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-WORDS_KEPT = 1 << 18
+WORDS_KEPT = 1 << 17
 
 
 class Encoder:
@@ -37,19 +37,39 @@ class Encoder:
 
     The tokenizer drops white space, lets no token cross it, lower-cases, and parts letters from a mark that stands alone,
     so a text's ids are those of its lower-cased words and marks.  These are kept for reuse: at most WORDS_KEPT of them
-    after a task, the earliest met, which are the commonest, and four times as many within one.  Texts beyond Latin-1 are only parted at spaces, as their lower case depends on normal forms.
+    after a task, the earliest met, which are the commonest, and five times as many within one.  Texts beyond Latin-1 are only parted at spaces, as their lower case depends on normal forms.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        # lower-case words of Latin-1 letters are what normalising and splitting would make of them
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 8192):
-            part = words[at: at + 8192]
+        plain: list[str] = []
+        rest: list[str] = []
+        for w in words:
+            (plain if _PLAIN(w) else rest).append(w)
+        for at in range(0, len(plain), 8192):
+            part = plain[at: at + 8192]
+            ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(part):  # a vocabulary without word ends
+                rest += part
+                continue
+            raw, cut = ids.tobytes(), [0, *(cut * 4).tolist()]
+            self.known.update((w, raw[i:j]) for w, i, j in zip(part, cut[:-1], cut[1:], strict=True))
+        for at in range(0, len(rest), 8192):
+            part = rest[at: at + 8192]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ends = np.cumsum([len(w) + 1 for w in part])
             cut = np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), ends) * 4
@@ -64,7 +84,7 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         split = [parted(s) for s in texts]
         new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > 4 * WORDS_KEPT:
+        if len(self.known) + len(new) > 5 * WORDS_KEPT:
             self.trim()
             new = set().union(*split).difference(self.known)
         self.learn(list(new))
@@ -72,6 +92,7 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
 
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 _LONE_MARK = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])[,.](?=[ \n]|$)")
 
 
