@@ -81,7 +81,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- candidates and features of whole spans ------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
-_SIGN = re.compile(r"[0-9](?:[0-9]|[ ().\-/]{1,2}(?=[0-9(])){5,40}[0-9]|@|[\[(] ?at ?[\])]", re.I)
+# every shape that has digits holds one of the first three signs, at most 80 characters before its end; email holds one of the last two
+_SIGN = re.compile(r"[0-9](?: ?\. ?[0-9]{1,3}){3}|[0-9]{7}|[0-9]{2}\)?[ .\-/]{1,2}\(?[0-9]{2}|@|[\[(] ?at ?[\])]", re.I)
 _SHAPES = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|[\[(] ?at ?[\])]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{2,24}){1,4}", re.I),
     "ip": re.compile(r"[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}"),

@@ -54,6 +54,29 @@ def test_added_spans():
     assert pii.added_spans(w, text, pii.base_spans(text)) == []  # the base span stays and is not doubled
 
 
+def test_added_spans_of_every_trained_form():
+    w = pii.train()
+    forms = {"ip": ("10 . 20 . 30 . 40", "1 . 2 . 3 . 4", "192 . 168 . 100 . 200"), "card": ("4111. 1111. 1111. 1111", "4111/1111/1111/1111", "4111.1111.1111.1111"),
+             "email": ("joe.doe (at) foo (dot) com", "joe.doe[at]foo[dot]com", "joe.doe @ foo.com", "joe.doe [at] foo.com"),
+             "phone": ("(555) 123-4567", "555-123-4567", "055/1234567", "0555 123 4567")}
+    cue = {"ip": "server", "card": "visa", "email": "mail", "phone": "call"}
+    for kind, made in forms.items():
+        for form in made:
+            text = f"{cue[kind]} {form} now"
+            at = len(cue[kind]) + 1
+            assert pii.added_spans(w, text, pii.base_spans(text)) == [(kind, at, at + len(form))], text
+
+
+def test_signs_miss_no_shape():
+    rng = random.Random(4)
+    w = pii.train()
+    for _ in range(3000):
+        text = " ".join(rng.choice((pii._made(rng)[0], "".join(rng.choice("1234567 .-/()") for _ in range(30)), "word " * rng.randint(1, 40))) for _ in range(rng.randint(1, 3)))
+        base = pii.base_spans(text)
+        assert pii.added_spans(w, text, base) == pii.segment(w, text, 0, len(text), base), text
+    pii.added_spans(w, "1" + "(" * 200 + " 2" + " ." * 200, [])  # in linear time
+
+
 def test_personal_data_query(spark):
     rows = [(1, "a@b.de and +49 30 1234567", 1), (2, None, 1), (3, "", 1), (1, "a@b.de and +49 30 1234567", 1), (None, "1.2.3.4", 1)]
     got = pii.find(spark.createDataFrame(rows, "doc_id bigint, text string, spans int")).collect()
