@@ -15,9 +15,9 @@ from halyard.llm.queries import tokenizer_file
 
 
 def language(spark, docs, sf_dir):
-    """Documents without any letter (or text) are rejected; all others stay as they are."""
+    """Documents without any letter (or text) are rejected; all others stay as they are, those too for which nothing was learned."""
     model = langid.train(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
-    return langid.identify(docs, model, tuple(docs.columns)).where("lang_pred <> 'und'").select(docs.columns)
+    return langid.identify(docs, model, tuple(docs.columns)).where(F.expr("lang_pred <> 'und'") | F.col("text").rlike(r"\p{L}")).select(docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):

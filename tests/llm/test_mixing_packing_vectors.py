@@ -175,3 +175,14 @@ def test_pipeline_stages(spark):
         empty = stage(spark, empty, "")
         assert empty.count() == 0
         empty = docs
+
+
+def test_pipeline_keeps_documents_that_no_model_knows(spark):
+    made = [(1, "the cat sat", None, "a", 11), (2, "12 !!", None, "a", 5), (3, None, None, "a", 0), (None, "été", None, "a", 3), (5, "", None, "a", 0)]
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    unlabelled = corpus_pipeline.language(spark, spark.createDataFrame(made, kind), "")
+    assert sorted(r["text"] for r in unlabelled.collect()) == ["the cat sat", "été"]
+    nameless = spark.createDataFrame([(None, t, "en", s, n) for _, t, _, s, n in made], kind)
+    assert sorted(r["text"] for r in corpus_pipeline.language(spark, nameless, "").collect()) == ["the cat sat", "été"]
+    undetermined = spark.createDataFrame([(i, t, "und", s, n) for i, t, _, s, n in made], kind)
+    assert sorted(r["text"] for r in corpus_pipeline.language(spark, undetermined, "").collect()) == ["the cat sat", "été"]
