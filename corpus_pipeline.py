@@ -20,12 +20,21 @@ def language(spark, docs, sf_dir):
     return langid.identify(docs, model, tuple(docs.columns)).where(F.expr("lang_pred <> 'und'") | F.col("text").rlike(r"\p{L}")).select(docs.columns)
 
 
+def _one_each(docs):
+    """One row of each doc_id and text, the one whose further columns are least."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.groupBy("doc_id", F.sha2("text", 256).alias("_t")).agg(F.min(F.struct(*rest, "text")).alias("_row"))
+    return rows.select("doc_id", "_row.*").select(docs.columns)
+
+
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group stays: the one with the smallest id.  Of rows without id, one for each text."""
+    """One document of each group stays: the one with the smallest id, with each of its texts where an id has several.
+
+    Of rows alike in id and text one stays (the least by the further columns); of rows without id, one for each text.
+    """
     kept = minhash.near_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").withColumn("_t", F.sha2("text", 256)).dropDuplicates(["_t"]).drop("_t")
-    return named.unionByName(nameless).select(docs.columns)
+    named = _one_each(docs.where("doc_id is not null").join(kept, "doc_id", "left_semi"))
+    return named.unionByName(_one_each(docs.where("doc_id is null"))).select(docs.columns)
 
 
 def _redact(names):

@@ -186,3 +186,12 @@ def test_pipeline_keeps_documents_that_no_model_knows(spark):
     assert sorted(r["text"] for r in corpus_pipeline.language(spark, nameless, "").collect()) == ["the cat sat", "été"]
     undetermined = spark.createDataFrame([(i, t, "und", s, n) for i, t, _, s, n in made], kind)
     assert sorted(r["text"] for r in corpus_pipeline.language(spark, undetermined, "").collect()) == ["the cat sat", "été"]
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    made = [(1, "a quite plain sentence about cats", "en", "b", 5), (1, "another text with other words entirely", "en", "a", 5), (1, "a quite plain sentence about cats", "en", "a", 5),
+            (2, "A quite plain sentence about cats", "en", "a", 5), (None, "no id here", "en", "b", 5), (None, "no id here", "en", "a", 5)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for parts in (1, 5):
+        got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(parts), "").collect()]
+        assert sorted(got, key=repr) == sorted([made[1], made[2], made[5]], key=repr)
