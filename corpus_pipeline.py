@@ -7,6 +7,7 @@ the last return the columns of documents.  Every decision is about whole rows or
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from halyard.llm import langid, minhash, mixing, packing, secrets
@@ -63,12 +64,17 @@ def secret_scan(spark, docs, sf_dir):
 
 
 def mixing_sources(spark, docs, sf_dir):
-    """Documents are repeated as often as the mix takes them; those it doesn't take go.  Rows alike share their repetitions."""
-    size = mixing.word_count(F.col("text"))
-    taken = mixing.mix(docs, cut=False).groupBy("doc_id", "source", "size").agg(F.round(F.avg("repeats")).cast("int").alias("_r")).where("_r > 0")
-    taken = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_r")
-    rows = docs.withColumn("_w", size).join(taken, F.expr("doc_id <=> _d and source <=> _s and _w = _n"))
-    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), "_r"))).select(docs.columns)
+    """Documents are repeated as often as the mix takes them; those it doesn't take go.
+
+    Rows are alike only in id, source and text together; such rows share out their repetitions, none is lost or added.
+    """
+    of = lambda c: F.coalesce(F.sha2(c, 256), F.lit(""))
+    keyed = docs.withColumn("_k", F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), of("source"), of("text")), 256))
+    taken = mixing.mix(keyed, cut=False, carry=("_k",)).groupBy("_k").agg(F.sum("repeats").alias("_sum"), F.count("*").alias("_rows")).where("_sum > 0")
+    alike = Window.partitionBy("_k").orderBy(*[c for c in docs.columns if c not in ("doc_id", "source", "text")], "_k")
+    rows = keyed.withColumn("_n", F.row_number().over(alike)).join(taken, "_k")
+    times = F.expr("cast(_sum div _rows + if(_n <= _sum % _rows, 1, 0) as int)")
+    return rows.withColumn("_r", times).where("_r > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), "_r"))).select(docs.columns)
 
 
 def best_fit_packing(spark, docs, sf_dir):

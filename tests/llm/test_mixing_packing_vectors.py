@@ -195,3 +195,19 @@ def test_pipeline_keeps_unlike_texts_of_one_id(spark):
     for parts in (1, 5):
         got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(parts), "").collect()]
         assert sorted(got, key=repr) == sorted([made[1], made[2], made[5]], key=repr)
+
+
+def test_pipeline_mixes_rows_without_id(spark):
+    made = [(None, f"{s} {i} three four five six seven eight", "en", s, 5) for s in "ab" for i in range(10)]
+    made += [(7, "one row twice", "en", None, n) for n in (1, 1, 2)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    goal = {r["source"]: (r["target"], r["size"]) for r in mixing.mix(docs, cut=False).collect()}
+    times = {(r["doc_id"], r["source"], r["size"]): 0 for r in mixing.mix(docs, cut=False).collect()}
+    for r in mixing.mix(docs, cut=False).collect():
+        times[r["doc_id"], r["source"], r["size"]] += r["repeats"]
+    got = corpus_pipeline.mixing_sources(spark, docs.repartition(3), "").collect()
+    for s, (target, size) in goal.items():
+        words = sum(len(r["text"].split()) for r in got if r["source"] == s)
+        assert abs(words - target) <= size / 2 + 1
+    assert sum(times.values()) == len(got) and {tuple(r) for r in got} <= set(made)
+    assert times[7, None, 3] == sum(r["doc_id"] == 7 for r in got)
