@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from halyard.llm import blocks, common, kernel, minhash, suffix
@@ -78,6 +79,28 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert got == brute.near(rows, 3, 85)
 
 
+def test_near_duplicates_with_few_common_sketch_values(spark):
+    words = [f"w{i}" for i in range(200)]
+    h, _ = minhash.shingles(pa.array(words), 1)
+    order = [words[i] for i in np.argsort(h)]
+    rows = [(1, " ".join(order)), (2, " ".join(order[:11] + order[32:]))]  # J = 0.895, 11 of 32 values in common
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, TEXT), 1, 80).collect()}
+    assert got == brute.near(rows, 1, 80) and got[2][1] == 1
+
+
+def test_missed_links_are_rare():
+    for j in (0.8, 0.85):
+        need = (j - minhash.SLACK) * minhash.SKETCH
+        odds = {(0, 0, 0): 1.0}  # (last value shared, two neighbours shared, values shared)
+        for _ in range(minhash.SKETCH):
+            step = {}
+            for (last, pair, n), p in odds.items():
+                for key, q in (((0, pair, n), p * (1 - j)), ((1, pair | last, n + 1), p * j)):
+                    step[key] = step.get(key, 0.0) + q
+            odds = step
+        assert sum(p for (_, pair, n), p in odds.items() if not pair or n < need) < 4e-9
+
+
 def test_near_duplicates_odd_inputs(spark):
     rows = [(1, None, 1), (2, "", 1), (3, "a b", 1), (4, "A  B", 2), (4, "A  B", 2), (None, "a b", 3), (8, "x y z w", 1), (9, "x y z W", 2)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string, n_shingles int"), 3, 85).collect()
