@@ -160,7 +160,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, lists: int | None
     every = stash(only(vectors, "vec_id", "label", "embedding").mapInArrow(_entries, "vec_id bigint, label bigint, dim int, digest binary, unit binary"), "vectors")
     able = every.where("unit is not null and label is not null and vec_id is not null")
     entries = stash(able.groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"), F.first("unit").alias("unit")), "entries")
-    dims = [r[0] for r in entries.select("dim").distinct().orderBy("dim").limit(1000).collect()]
+    dims = [r[0] for r in entries.select("dim").distinct().orderBy("dim").collect()]
     models = {d: train(entries, d, lists, sample) for d in dims}
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     placed = entries.select("label", "dim", "rep", "unit").mapInArrow(_placed(models, radius), "label bigint, dim int, list int, side int, rep bigint")

@@ -156,6 +156,15 @@ def test_near_vectors_odd_inputs(spark):
     assert pq.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_many_lengths(spark, monkeypatch):
+    flat = lambda entries, dim, lists, sample: {"dim": dim, "coarse": np.zeros((1, dim)), "parts": [], "books": []}
+    monkeypatch.setattr(pq, "train", flat)
+    rows = [(2 * n + k, [1.0] + [0.0] * (n - 1) if k else [2.0] + [0.0] * (n - 1), 1) for n in range(1, 1006) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq.near_vectors(df).collect()}
+    assert got == {i: (1, i - i % 2) for i, _, _ in rows}
+
+
 def test_pipeline_stages(spark):
     made = [(1, "the cat and the dog sat on the mat all day", "en", "a", 5), (2, "The cat and the dog sat on the mat all day", "en", "a", 5), (3, "12 !!", "en", "a", 5), (4, None, None, None, None),
             (5, "my password = hunter2hunter2 ok then", "en", "b", 5), (6, "der hund und die katze schlafen heute", "de", "b", 5), (None, "ein kleiner satz ohne kennung", "de", "b", 5)]
