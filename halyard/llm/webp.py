@@ -608,6 +608,39 @@ def encode(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return only(docs, *dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
 
 
+def _decoded(stored: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
+    """Width, height and ARGB values (flat, in row order) of every file of each media value."""
+    data = b"".join(stored)
+    starts, owner, at = [], [], 0
+    for i, m in enumerate(stored):
+        own = files_in(m)
+        starts += [at + s for s in own]
+        owner += [i] * len(own)
+        at += len(m)
+    out: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in stored]
+    for i, s, argb in zip(owner, starts, decode_many(data, starts), strict=True):
+        out[i].append((*read_header(data, s)[:2], argb))
+    return out
+
+
+def pixels(media: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `carry` with images: width, height and ARGB values (in row order) of every lossless WebP file of media.
+
+    Null or empty media: no images.  A column of `carry` that is called images gives way to the result.
+    """
+    carry = tuple(c for c in carry if c != "images")
+    image = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("argb", T.ArrayType(T.LongType()))])
+    schema = T.StructType([media.schema[c] for c in carry] + [T.StructField("images", T.ArrayType(image))])
+    kind = pa.list_(pa.struct([("width", pa.int32()), ("height", pa.int32()), ("argb", pa.list_(pa.int64()))]))
+
+    def run(batches):
+        for t in text_slices(batches, text="media", most=1 << 18):
+            images = [[{"width": w, "height": h, "argb": argb.ravel().astype(np.int64)} for w, h, argb in own] for own in _decoded([m or b"" for m in t["media"].to_pylist()])]
+            yield pa.RecordBatch.from_arrays([t[c].combine_chunks() for c in carry] + [pa.array(images, kind)], names=[*carry, "images"])
+
+    return only(media, *dict.fromkeys([*carry, "media"])).mapInArrow(run, schema)
+
+
 READ = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 
@@ -622,15 +655,7 @@ def read_back(media: DataFrame, carry: tuple[str, ...] = ("doc_id", "n_bytes"))
     def run(batches):
         for t in text_slices(batches, text="media", most=1 << 21):
             stored = [m or b"" for m in t["media"].to_pylist()]
-            starts, owner, at = [], [], 0
-            for i, m in enumerate(stored):
-                own = files_in(m)
-                starts += [at + s for s in own]
-                owner += [i] * len(own)
-                at += len(m)
-            parts: list[list[bytes]] = [[] for _ in stored]
-            for i, pixels in zip(owner, decode_many(b"".join(stored), starts), strict=True):
-                parts[i].append(payload_of(pixels))
+            parts = [[payload_of(argb) for _, _, argb in own] for own in _decoded(stored)]
             rows = {n: [] for n in READ}
             for m, p in zip(stored, parts, strict=True):
                 payload = b"".join(p)

@@ -230,3 +230,15 @@ def test_media_operators(spark):
         p = padded(raw)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     assert webp.encode(docs.limit(0)).count() == 0
+
+
+def test_pixels_operator(spark):
+    docs = spark.createDataFrame([(1, "hello"), (2, None), (None, "é" * 20_000)], "doc_id bigint, text string")
+    media = webp.encode(docs)
+    read = {r["doc_id"]: r for r in webp.read_back(media).collect()}
+    for r in webp.pixels(media).collect():
+        assert all(len(i["argb"]) == i["width"] * i["height"] for i in r["images"])
+        payload = b"".join(webp.payload_of(np.array(i["argb"], np.uint32)) for i in r["images"])
+        assert hashlib.sha256(payload).hexdigest() == read[r["doc_id"]]["payload_sha256"]
+    nothing = webp.pixels(spark.createDataFrame([(1, None)], "doc_id bigint, media binary")).first()
+    assert nothing["images"] == []
