@@ -5,8 +5,8 @@
    A window of 2 * block words or more that occurs in two documents holds a whole block of the first, hence an anchor, at the same place in both.
 3. Extension: windows of `size` words form runs by the first anchor in them.  A run that occurs alike in a smaller document is
    repeated as a whole.  Where an anchor's runs differ, the repeat ends, and its windows are compared one by one.
-The words that repeated windows cover are the maximal exact repeats.  Words, blocks, windows and runs are compared by
-64-bit hashes, windows and runs together with that of their anchor.
+The words that repeated windows cover are the maximal exact repeats.  Blocks are found by 64-bit hashes; runs and windows
+are equal if the BLAKE2 digests (128 bits) of their words, joined by a space, are.  Texts of any length are read in pieces.
 """
 
 from __future__ import annotations
@@ -20,36 +20,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import bitmap, bytes_of, in_bitmap, stash, text_slices
-from .repeats import RUNS, after_first, batch, cut_out, keyed, removed_mask, settled
+from .common import bitmap, in_bitmap, stash, text_slices
+from .repeats import RUNS, after_first, batch, cut_out, heads, keyed, pieces, removed_mask, settled
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _hashed(t):
-    data, off = bytes_of(t["text"])
-    _, _, h, first = K.words(data, off)
-    return first, K.sums(h)
+def _hashed(batches, size: int):
+    """Of each piece of text: (doc, mark, base), (bytes, offsets, word starts, word ends), first words, and sums of word hashes."""
+    for t in text_slices(batches):
+        for doc, mark, base, data, off in pieces(t, size, words=True):
+            start, end, h, first = K.words(data, off)
+            yield (doc, mark, base), (data, off, start, end), first, K.sums(h)
 
 
-def _index(block: int):
+def _index(size: int, block: int):
     def run(batches):
-        for t in text_slices(batches):
-            first, s = _hashed(t)
+        for _, _, first, s in _hashed(batches, size):
             at = np.concatenate([np.arange(a, b - block + 1, block) for a, b in zip(first[:-1], first[1:], strict=True)] or [first[:0]]).astype(np.int64)
             yield batch(["h"], [np.unique(K.spans(s, at, at + block)).view(np.int64)])
     return run
 
 
-def _probe(block: int, bits):
+def _probe(size: int, block: int, bits):
     def run(batches):
-        for t in text_slices(batches):
-            first, s = _hashed(t)
+        for (docs, _, _), _, first, s in _hashed(batches, size):
             at = K.windows(first, block)
             h = K.spans(s, at, at + block)
             hit = in_bitmap(bits.value, h)
             at, h = at[hit], h[hit].view(np.int64)
-            doc = t["doc_id"].combine_chunks().to_numpy(zero_copy_only=False)[np.searchsorted(first, at, "right") - 1]
+            doc = docs[np.searchsorted(first, at, "right") - 1]
             o = np.lexsort((doc, h))
             h, doc = h[o], doc[o]
             new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
@@ -76,23 +76,23 @@ def _anchored(first: np.ndarray, s: np.ndarray, size: int, block: int, bits):
 
 def _runs(size: int, block: int, bits):
     def run(batches):
-        for t in text_slices(batches):
-            first, s = _hashed(t)
+        for own, where, first, s in _hashed(batches, size):
             text, a, lo, n = _anchored(first, s, size, block, bits.value)
-            yield settled(t, first, size, text, a, K.spans(s, lo, lo + n - 1 + size), lo, n, False)
+            if len(text):
+                yield settled(*own, first, size, text, a, K.Joined(*where).digests(lo, lo + n - 1 + size), lo, n, False)
     return run
 
 
 def _windows(size: int, block: int, bits, unlike):
     def run(batches):
-        for t in text_slices(batches):
-            first, s = _hashed(t)
+        for own, where, first, s in _hashed(batches, size):
             text, a, lo, n = _anchored(first, s, size, block, bits.value)
             ok = in_bitmap(unlike.value, a)
             text, a, lo, n = text[ok], a[ok], lo[ok], n[ok]
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
-            yield settled(t, first, size, text[row], a[row], K.spans(s, at, at + size), at, np.ones(len(at), np.int64), False)
+            if len(text):
+                row = np.repeat(np.arange(len(n)), n)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
+                yield settled(*own, first, size, text[row], a[row], K.Joined(*where).digests(at, at + size), at, np.ones(len(at), np.int64), False)
     return run
 
 
@@ -118,16 +118,18 @@ def repeated_words(docs: DataFrame, size: int = 50, block: int = 25) -> DataFram
         raise ValueError("a window must hold a whole block")
     spark = docs.sparkSession
     texts = keyed(docs).where("doc_id is not null")
-    index = texts.mapInArrow(_index(block), "h bigint")
+    index = texts.mapInArrow(_index(size, block), "h bigint")
     bits = spark.sparkContext.broadcast(bitmap(index, "h"))
-    probes = texts.mapInArrow(_probe(block, bits), "h bigint, least bigint, most bigint")
+    probes = texts.mapInArrow(_probe(size, block, bits), "h bigint, least bigint, most bigint")
     shared = probes.groupBy("h").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most")
     anchors = spark.sparkContext.broadcast(bitmap(shared, "h"))
     runs = stash(texts.mapInArrow(_runs(size, block, anchors), RUNS), "word-runs")
-    unlike = runs.where("kind = 0").groupBy("a").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("x <> y and least < most")
+    same = F.struct("r", "q")
+    unlike = runs.where("kind = 0").groupBy("a").agg(F.min(same).alias("x"), F.max(same).alias("y"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("x <> y and least < most")
     edges = spark.sparkContext.broadcast(bitmap(unlike, "a"))
-    single = texts.mapInArrow(_windows(size, block, anchors, edges), RUNS)
-    return after_first(runs, size, False).unionByName(after_first(single, size, False))
+    single = stash(texts.mapInArrow(_windows(size, block, anchors, edges), RUNS), "word-windows")
+    parts = [after_first(x, heads(x, False, "word-heads"), size, False) for x in (runs, single)]
+    return parts[0].unionByName(parts[1])
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, block: int = 25) -> DataFrame:

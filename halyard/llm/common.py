@@ -37,7 +37,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/halyard/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._halyard_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that `stash` has written and nothing reads any more."""
+    spark, path = table.sparkSession, table._halyard_path
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.remove((spark, path))
 
 
 def release(spark: SparkSession) -> None:
@@ -99,7 +109,7 @@ def components(edges: DataFrame, name: str = "links", most_rounds: int = 60) ->
 
     Alternating large-star and small-star rounds: each is one combinable minimum per vertex and
     an equi-join.  The minima are written before they are joined, as a join on the exchange of an aggregate could not be split
-    where a hub has very many links.  Every round is written to the shared folder, too.  Null ends and loops link nothing; repeated edges count once.
+    where a hub has very many links.  Every round is written to the shared folder, too, and the one before it deleted.  Null ends and loops link nothing; repeated edges count once.
     """
     spark = edges.sparkSession
     e = stash(edges.where("a is not null and b is not null and a <> b")
@@ -113,13 +123,15 @@ def components(edges: DataFrame, name: str = "links", most_rounds: int = 60) ->
         return spark.createDataFrame([], "id bigint, component_id bigint")
     for _ in range(most_rounds):
         both = e.union(e.select("v", "u"))
-        low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = stash(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
         linked = large.join(low, "u")
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(
             low.select("u", F.col("m").alias("v"))).distinct()
-        e = stash(small, name)
+        before, e = e, stash(small, name)
+        for old in (before, least, low):
+            discard(old)
         now = mark(e)
         if now == seen:
             roots = e.select(F.col("v").alias("id")).distinct().withColumn("component_id", F.col("id"))

@@ -1,16 +1,18 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
-1. A document's set holds the 64-bit hashes of its distinct word shingles; documents with the same set form a class.
+1. A document's set holds the 64-bit hashes of its distinct word shingles; documents with the same words in the same order (by a
+   BLAKE2 digest of them) form a class.
 2. The k least hashes of a class are its sketch.  Two adjacent values of a sketch make the key of an inverted list.
    If a union of sets keeps k values, each is shared with probability J; two neighbours are both shared somewhere with a
    probability of more than 1 - 1e-8 for J >= 0.8 and k = 32, and always for sets of at most k values.  (Lists of
    single values would join half the corpus by common phrases; lists of two neighbours hardly do.)
-3. Within a list, a pair is dropped if its two whole sketches have fewer than (threshold - SLACK) * min(k, n) values in common.
-   That count is never below the shared values among the k least of the union, so both steps together miss a link of J >= 0.8
-   at a threshold of 0.8 with a probability below 4e-9, one of J >= 0.85 at 0.85 below 1.2e-9.
-   Long lists are cut into blocks and each pair of blocks is a cell of its own; no pair is written, only forests.
-4. Components of the estimated links are verified on full sets, again block by block, and the components of the
-   verified links are the result.
+3. Within a list, the sketch of a pair's union, the k least values of both, estimates its similarity by the share of values that
+   both sketches hold; a pair passes with an estimate of at least threshold - SLACK.
+   Both steps together miss a link of J >= 0.8 at a threshold of 0.8 with a probability below 4e-9, one of J >= 0.85 at 0.85
+   below 1.2e-9.  Long lists are cut into blocks and each pair of blocks is a cell of its own; no pair is written, only forests.
+4. Components of the estimated links are verified on full sets of shingles, each by the BLAKE2 digest (128 bits) of its words: first
+   every member with the smallest one of its component, then those that this leaves with all others, block by block.
+   The components of the verified links are the result.
 """
 
 from __future__ import annotations
@@ -63,17 +65,15 @@ def _pack(values: np.ndarray, off: np.ndarray) -> pa.Array:
 def _sketches(size: int):
     def run(batches):
         for t in text_slices(batches, most=1 << 20):
+            data, off = bytes_of(t["text"])
+            start, end, _, first = K.words(data, off, hashes=False)
+            f1, f2 = K.Joined(data, off, start, end, lower=True).digests(first[:-1], first[1:])
             v, off = shingles(t["text"], size)
             n = np.diff(off)
-            s1, s2 = np.zeros(len(v) + 1, K.U), np.zeros(len(v) + 1, K.U)
-            np.cumsum(K.mix(v + K.U(0x51)), out=s1[1:])
-            np.cumsum(K.mix(v + K.U(0xA7)), out=s2[1:])
             take = np.minimum(n, SKETCH)
             pos = np.repeat(off[:-1] - (np.cumsum(take) - take), take) + np.arange(take.sum())
-            yield pa.RecordBatch.from_arrays(
-                [t["doc_id"].combine_chunks(), pa.array(n.astype(np.int64)), pa.array((s1[off[1:]] - s1[off[:-1]]).view(np.int64)),
-                 pa.array((s2[off[1:]] - s2[off[:-1]]).view(np.int64)), _pack(v[pos], np.append(0, np.cumsum(take)))],
-                names=["doc_id", "n_shingles", "f1", "f2", "sketch"])
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), _pack(v[pos], np.append(0, np.cumsum(take)))],
+                                             names=["doc_id", "n_shingles", "f1", "f2", "sketch"])
     return run
 
 
@@ -141,20 +141,54 @@ def _pairs_of(start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (start[:, None] + i).ravel(), (start[:, None] + j).ravel()
 
 
+def padded(v: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sketches as rows of SKETCH values; a shorter one is filled with the greatest values, unlike any other row's."""
+    n = len(off) - 1
+    out = ~(np.arange(n, dtype=np.uint64)[:, None] * np.uint64(SKETCH) + np.arange(SKETCH, dtype=np.uint64))
+    m = np.diff(off)
+    out[np.repeat(np.arange(n), m), np.arange(len(v)) - np.repeat(off[:-1], m)] = v
+    return out
+
+
+def union_estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """The similarity of each pair of padded sketches by the sketch of its union; na, nb: how many values each sketch really has."""
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    again = both[:, 1:] == both[:, :-1]
+    rank = 1 + np.cumsum(~again, axis=1)  # of the values in the union
+    kept = np.minimum(SKETCH, na + nb - again.sum(1))
+    return (again & (rank <= kept[:, None])).sum(1) / np.maximum(kept, 1)
+
+
+def _block_links(pad_a, na, pad_b, nb, shared, least: float, one: bool):
+    """Pairs (rows of a, rows of b) that connect all rows which chains of estimated links connect.
+
+    shared: values common to the whole sketches, never less than those in the union's sketch.  A row is compared with those alone
+    that it isn't connected with yet, so a block of alike documents takes few comparisons.
+    """
+    label = np.arange(len(na)) if one else np.arange(len(na) + len(nb))
+    skip = 0 if one else len(na)
+    xs, ys = [], []
+    for i in range(len(na)):
+        j = np.flatnonzero((shared[i] >= least * np.minimum(SKETCH, np.maximum(na[i], nb))) & (label[skip:] != label[i]))
+        if len(j):
+            j = j[union_estimates(np.repeat(pad_a[i: i + 1], len(j), 0), pad_b[j], na[i], nb[j]) >= least]
+            _, at = np.unique(label[skip + j], return_index=True)
+            xs.append(np.full(len(at), i))
+            ys.append(j[at])
+            label[np.isin(label, label[skip + j])] = label[i]
+    return np.concatenate(xs or [np.zeros(0, np.int64)]), np.concatenate(ys or [np.zeros(0, np.int64)])
+
+
 def _estimated(least: float):
     """Forests of the pairs in each list whose sketches overlap enough."""
 
     def run(batches):
         for t in whole_groups(batches, ["key", "bi", "bj"]):
             v, off = binary_rows(t["sketch"], np.uint64)
-            rep, n = t["rep"].to_numpy(), t["n_shingles"].to_numpy()
-            side, bi, bj = t["side"].to_numpy(), t["bi"].to_numpy(), t["bj"].to_numpy()
+            rep, side, bi, bj = (t[c].to_numpy() for c in ("rep", "side", "bi", "bj"))
             g = bounds(t["key"].to_numpy(), bi, bj)
-            need = least * np.minimum(SKETCH, n)
-            pad = np.zeros((len(n), SKETCH), np.uint64)
-            pad[:] = np.arange(len(n), dtype=np.uint64)[:, None] * np.uint64(SKETCH) + np.arange(SKETCH, dtype=np.uint64)  # unlike any other row's
             m = np.diff(off)
-            pad[np.repeat(np.arange(len(n)), m), np.arange(len(v)) - np.repeat(off[:-1], m)] = v
+            pad = padded(v, off)
             size = np.diff(g)
             one = bi[g[:-1]] == bj[g[:-1]]
             us, vs = [], []
@@ -164,30 +198,23 @@ def _estimated(least: float):
                 first, second = _pairs_of(g[:-1][one & (size == s)], int(s))
                 for at in range(0, len(first), 50_000):
                     i, j = first[at: at + 50_000], second[at: at + 50_000]
-                    both = np.sort(np.concatenate([pad[i], pad[j]], axis=1), axis=1)
-                    hit = (both[:, 1:] == both[:, :-1]).sum(1) >= np.maximum(need[i], need[j])
+                    hit = union_estimates(pad[i], pad[j], m[i], m[j]) >= least
                     us.append(rep[i[hit]])
                     vs.append(rep[j[hit]])
-            row = np.repeat(np.arange(len(n)), m)
+            row = np.repeat(np.arange(len(m)), m)
             for k in np.flatnonzero(~one | (size > 48)):
                 lo, hi = g[k], g[k + 1]
+                mine = [np.arange(lo, hi)] * 2 if one[k] else [lo + np.flatnonzero(side[lo:hi] == x) for x in (0, 1)]
                 tok, r = v[off[lo]: off[hi]], row[off[lo]: off[hi]] - lo
-                if one[k]:
-                    rows_a = rows_b = np.arange(hi - lo)
-                else:
-                    rows_a, rows_b = np.flatnonzero(side[lo:hi] == 0), np.flatnonzero(side[lo:hi] == 1)
-                where = np.full(hi - lo, -1)
-                where[rows_a] = np.arange(len(rows_a))
-                a = where[r] >= 0
-                ta, ra = tok[a], where[r[a]]
-                where[:] = -1
-                where[rows_b] = np.arange(len(rows_b))
-                b = where[r] >= 0
-                o = overlaps(ta, ra, len(rows_a), tok[b], where[r[b]], len(rows_b))
-                hit = o >= np.maximum(need[lo:hi][rows_a][:, None], need[lo:hi][rows_b][None, :])
-                x, y = forest(rep[lo:hi][rows_a], rep[lo:hi][rows_b], hit)
-                us.append(x)
-                vs.append(y)
+                sides = []
+                for rows in mine:
+                    where = np.full(hi - lo, -1)
+                    where[rows - lo] = np.arange(len(rows))
+                    sides.append((tok[where[r] >= 0], where[r][where[r] >= 0], len(rows)))
+                a, b = mine
+                x, y = _block_links(pad[a], m[a], pad[b], m[b], overlaps(*sides[0], *sides[1]), least, bool(one[k]))
+                us.append(rep[a[x]])
+                vs.append(rep[b[y]])
             if us:
                 u, w = np.concatenate(us), np.concatenate(vs)
                 both = np.unique(np.stack([np.maximum(u, w), np.minimum(u, w)], 1), axis=0)
@@ -195,12 +222,37 @@ def _estimated(least: float):
     return run
 
 
+def exact_shingles(texts, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text as digests of their words (two numbers each), and their offsets."""
+    data, off = bytes_of(texts)
+    start, end, _, first = K.words(data, off, hashes=False)
+    n = np.diff(first)
+    at = K.windows(first, size)
+    short = np.flatnonzero((n > 0) & (n < size))
+    group = np.append(np.repeat(np.arange(len(n)), np.maximum(n - size + 1, 0)), short)
+    x, y = K.Joined(data, off, start, end, lower=True).digests(np.append(at, first[short]), np.append(at + size, first[short + 1]))
+    o = np.lexsort((y, x, group))
+    group, x, y = group[o], x[o], y[o]
+    keep = bounds(group, x, y)[:-1]
+    return np.stack([x[keep], y[keep]], 1), np.searchsorted(group[keep], np.arange(len(n) + 1))
+
+
+def _numbered(pairs: np.ndarray) -> np.ndarray:
+    """A number for each row of two values, the same for equal rows."""
+    o = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    g = bounds(pairs[o, 0], pairs[o, 1])
+    out = np.empty(len(o), np.int64)
+    out[o] = np.repeat(np.arange(len(g) - 1), np.diff(g))
+    return out
+
+
 def _verified(percent: int):
-    """Forests of the exact links within each cell of a component."""
+    """Forests of the exact links within each cell of a component: all pairs where bi = bj, else those of side 0 with side 1."""
 
     def run(batches):
         for t in whole_groups(batches, ["component_id", "bi", "bj"], rows=2_000):
-            v, off = binary_rows(t["shingles"], np.uint64)
+            v, off = binary_rows(t["shingles"], np.int64)
+            v, off = _numbered(v.reshape(-1, 2)), off // 2
             doc, side = t["doc_id"].to_numpy(), t["side"].to_numpy()
             bi, bj = t["bi"].to_numpy(), t["bj"].to_numpy()
             g = bounds(t["component_id"].to_numpy(), bi, bj)
@@ -226,8 +278,8 @@ def _sets(size: int, bits):
         for t in text_slices(batches, most=1 << 20):
             t = t.filter(pa.array(in_bitmap(bits.value, t["_h"].to_numpy())))
             if t.num_rows:
-                v, off = shingles(t["text"], size)
-                yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), _pack(v, off)], names=["doc_id", "shingles"])
+                v, off = exact_shingles(t["text"], size)
+                yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), _pack(v, off * 2)], names=["doc_id", "shingles"])
     return run
 
 
@@ -262,11 +314,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     estimated = listed.mapInArrow(_estimated(least), "a bigint, b bigint")
     near = stash(components(estimated, "estimated"), "near")
     member = near.select(F.col("id").alias("doc_id"), "component_id")
-    bits = spark.sparkContext.broadcast(bitmap(member.select(F.xxhash64("doc_id").alias("h")), "h"))
-    sets = docs.where("doc_id is not null").withColumn("_h", F.xxhash64("doc_id")).mapInArrow(_sets(size, bits), "doc_id bigint, shingles binary")
-    sets = cells(member, "component_id", "doc_id", SET_BLOCK).join(sets, "doc_id")
-    sets = sets.repartition("component_id", "bi", "bj").sortWithinPartitions("component_id", "bi", "bj")
-    exact = sets.mapInArrow(_verified(percent), "a bigint, b bigint")
+
+    def verified(placed: DataFrame, name: str) -> DataFrame:
+        """The links in cells (doc_id, component_id, bi, bj, side), which meet the full sets of their documents there."""
+        bits = spark.sparkContext.broadcast(bitmap(placed.select(F.xxhash64("doc_id").alias("h")).distinct(), "h"))
+        sets = docs.where("doc_id is not null").withColumn("_h", F.xxhash64("doc_id")).mapInArrow(_sets(size, bits), "doc_id bigint, shingles binary")
+        met = placed.join(sets, "doc_id").repartition("component_id", "bi", "bj").sortWithinPartitions("component_id", "bi", "bj")
+        return stash(met.mapInArrow(_verified(percent), "a bigint, b bigint"), name)
+
+    # a component of one block is one cell; in a larger one every member meets the smallest, which goes to all blocks
+    count = member.groupBy("component_id").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("nb"))
+    member = stash(member.join(count, "component_id"), "members")
+    number = F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int")
+    least_one = F.col("doc_id") == F.col("component_id")
+    mine = F.when((F.col("nb") > 1) & least_one, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(number))
+    first = member.withColumn("bi", F.explode(mine)).withColumn("bj", F.when(F.col("nb") > 1, F.lit(-1)).otherwise(F.lit(0)))
+    exact = verified(first.select("doc_id", "component_id", "bi", "bj", F.when(least_one, 0).otherwise(1).alias("side")), "exact")
+    # those that don't link to the smallest meet all others of the component, so that no link is lost
+    left = stash(member.where((F.col("nb") > 1) & ~least_one).join(exact.select(F.col("a").alias("doc_id")), "doc_id", "left_anti"), "unsettled")
+    if left.head(1):
+        rest = left.groupBy("component_id").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("nr"))
+        row = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("nr")).cast("int")
+        some = left.join(rest, "component_id").withColumn("bi", -1 - row).withColumn("bj", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        every_one = member.join(rest, "component_id").withColumn("bj", number).withColumn("bi", F.explode(F.sequence(-F.col("nr"), F.lit(-1))))
+        names = ["doc_id", "component_id", "bi", "bj"]
+        both = some.select(*names, F.lit(0).alias("side")).unionByName(every_one.select(*names, F.lit(1).alias("side")))
+        exact = exact.unionByName(verified(stash(both, "cells"), "exact-rest"))
     same = able.join(classes.drop("sketch"), ["n_shingles", "f1", "f2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     linked = components(exact.unionByName(same), "links")
     out = every.select("doc_id", "n_shingles").join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left")

@@ -1,27 +1,53 @@
 """What the two repeat removers share: runs of windows, removed intervals, and cutting them out of documents.
 
 A window is a fixed number of items (words or bytes).  Windows that hold the same anchor at their first (or least) place are
-consecutive: they form a run, known by its anchor and a hash of all its items.  Equal windows have equal anchors, so
-an anchor whose runs all hash alike needs no look at single windows.
+consecutive: they form a run, known by its anchor and a digest of all its items (r, q).  Equal windows have equal anchors, so
+an anchor whose runs all are alike needs no look at single windows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import bitmap, bounds, in_bitmap, only, stash
+from .common import bitmap, bounds, bytes_of, in_bitmap, only, stash
 
-RUNS = "kind int, a bigint, r bigint, doc_id bigint, t int, lo bigint, n bigint"
+PIECE = 1 << 20
+RUNS = "kind int, a bigint, r bigint, q bigint, doc_id bigint, t bigint, lo bigint, n bigint"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, t, text): t tells apart the texts of rows with one doc_id."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return only(docs, "doc_id", "text").select("doc_id", F.hash(text).alias("t"), text.alias("text"))
+    return only(docs, "doc_id", "text").select("doc_id", F.xxhash64(text).alias("t"), text.alias("text"))
+
+
+def pieces(t, size: int, words: bool, most: int | None = None):
+    """(doc, mark, base, data, off) of a slice: documents, marks, items before, bytes and offsets of its texts.
+
+    A text much longer than `most` bytes comes in pieces, so that memory doesn't follow its length: each has the bytes of
+    `size` - 1 further items of the next one, so that every window of `size` items starts in just one piece.
+    """
+    most = most or PIECE
+    doc, mark = t["doc_id"].combine_chunks().to_numpy(), t["t"].combine_chunks().to_numpy()
+    data, off = bytes_of(t["text"])
+    if len(doc) != 1 or len(data) <= 2 * most:
+        yield doc, mark, np.zeros(len(doc), np.int64), data, off
+        return
+    if words:
+        begin = K.word_starts(data)
+        cut = np.unique(np.searchsorted(begin, np.arange(0, len(data), most)))
+        byte = np.append(begin, len(data))
+        for a, b in zip(cut, np.append(cut[1:], len(begin)), strict=True):
+            part = data[byte[a]: byte[min(b + size - 1, len(begin))]]
+            yield doc, mark, np.array([a], np.int64), part, np.array([0, len(part)])
+    else:
+        for a in range(0, len(data), most):
+            part = data[a: a + most + size - 1]
+            yield doc, mark, np.array([a], np.int64), part, np.array([0, len(part)])
 
 
 def merged(group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,57 +94,79 @@ def cut_out(docs: DataFrame, intervals: DataFrame, cut, schema: str) -> DataFram
         for b in batches:
             yield b.filter(pa.array(in_bitmap(bits.value, b["h"].to_numpy()))).select(["doc_id", "t", "text"])
 
-    met = texts.mapInArrow(inside, "doc_id bigint, t int, text string").join(cuts, ["doc_id", "t"], "left").select("doc_id", "text", "cuts")
+    met = texts.mapInArrow(inside, "doc_id bigint, t bigint, text string").join(cuts, ["doc_id", "t"], "left").select("doc_id", "text", "cuts")
     return texts.mapInArrow(outside, schema).unionByName(met.mapInArrow(cut, schema))
 
 
-def settled(t, first: np.ndarray, size: int, text, a, r, lo, n, by_place: bool) -> pa.RecordBatch:
+def settled(doc, mark, base, first: np.ndarray, size: int, text, a, same, lo, n, by_place: bool) -> pa.RecordBatch:
     """Rows of the runs of a slice (kind 0), and of the intervals of those that an earlier one in the slice is like (kind 1).
 
-    Earlier is a smaller document or, `by_place`, a smaller place in the same one.
+    doc, mark and base: of each text of the slice its document, its mark and how many items of the document stand before it;
+    same: the two columns of the runs' digests.  Earlier is a smaller document or, `by_place`, a smaller place in the same one.
     """
-    doc, mark = t["doc_id"].combine_chunks().to_numpy(), t["t"].combine_chunks().to_numpy()
-    d, place = doc[text], lo - first[text]
-    o = np.lexsort((place, d, r, a))
-    g = bounds(a[o], r[o])
+    r, q = same
+    d, place = doc[text], lo - first[text] + base[text]
+    o = np.lexsort((place, d, q, r, a))
+    g = bounds(a[o], r[o], q[o])
     head = np.repeat(o[g[:-1]], np.diff(g))
     later = np.zeros(len(o), bool)
     later[o] = (d[o] > d[head]) | ((d[o] == d[head]) & (place[o] > place[head]) if by_place else False)
     i, j = o[~later[o]], np.flatnonzero(later)
-    k, x, y = merged(text[j], lo[j], lo[j] + n[j] - 1 + size)
+    k, x, y = merged(text[j], place[j], place[j] + n[j] - 1 + size)
     # like runs of one text share their fate, so those that overlap are one row, however often a text repeats itself
-    end = lo[i] + n[i] - 1 + size
-    new = np.append(True, (text[i][1:] != text[i][:-1]) | (a[i][1:] != a[i][:-1]) | (r[i][1:] != r[i][:-1]) | (lo[i][1:] > end[:-1]))[: len(i)]
+    end = place[i] + n[i] - 1 + size
+    new = np.append(True, (text[i][1:] != text[i][:-1]) | (a[i][1:] != a[i][:-1]) | (r[i][1:] != r[i][:-1]) | (q[i][1:] != q[i][:-1]) | (place[i][1:] > end[:-1]))[: len(i)]
     b = np.flatnonzero(new)
-    i, n_open = i[b], end[np.append(b[1:], len(end))[: len(b)] - 1] - lo[i[b]] - size + 1
+    i, n_open = i[b], end[np.append(b[1:], len(end))[: len(b)] - 1] - place[i[b]] - size + 1
     where = np.append(text[i], k)
     own = K.mix(doc[k].view(np.uint64) + np.uint64(1))  # settled rows go anywhere
-    return batch(["kind", "a", "r", "doc_id", "t", "lo", "n"], [
-        np.append(np.zeros(len(i), np.int32), np.ones(len(k), np.int32)), np.append(a[i], own).view(np.int64), np.append(r[i], x.astype(np.uint64)).view(np.int64),
-        doc[where], mark[where], (np.append(lo[i], x) - first[where]).astype(np.int64), np.append(n_open, y - x).astype(np.int64)])
+    return batch(["kind", "a", "r", "q", "doc_id", "t", "lo", "n"], [
+        np.append(np.zeros(len(i), np.int32), np.ones(len(k), np.int32)), np.append(a[i], own).view(np.int64), np.append(r[i], x), np.append(q[i], y),
+        doc[where], mark[where], np.append(place[i], x).astype(np.int64), np.append(n_open, y - x).astype(np.int64)])
+
 
+LIKE = ["a", "r", "q"]
 
-def _least(by_place: bool):
-    """The first of the open runs that are alike, beside each of them.
 
-    Like runs of one slice have been settled there, so that a key has no more than about one row for each
-    slice of text, however many documents share it.
+def _open(runs: DataFrame, by_place: bool) -> DataFrame:
+    return runs.where("kind = 0").withColumn("here", F.struct("doc_id", "lo") if by_place else F.struct("doc_id"))
+
+
+def heads(runs: DataFrame, by_place: bool, name: str) -> DataFrame:
+    """(a, r, q, head) of the runs that occur more than once: the first of them.
+
+    A minimum that every task combines first, so that a run which all documents share meets in no one task; it is written
+    before it is joined, as the exchange of an aggregate could not be split.
     """
-    here = F.struct("doc_id", "lo") if by_place else F.col("doc_id")
-    return here, F.min(F.when(F.col("kind") == 0, here)).over(Window.partitionBy("a", "r"))
+    both = _open(runs, by_place).groupBy(*LIKE).agg(F.min("here").alias("head"), F.max("here").alias("tail"))
+    return stash(both.where("head < tail").drop("tail"), name)
+
+
+def _by_head(runs: DataFrame, least: DataFrame, by_place: bool) -> tuple[DataFrame, DataFrame]:
+    """The open runs that occur once (with no head), and those that may not, beside their head; only the latter are shuffled."""
+    bits = runs.sparkSession.sparkContext.broadcast(bitmap(least, "r"))
+    kinds = runs.schema
+
+    def picked(inside: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(in_bitmap(bits.value, b["r"].to_numpy()) == inside))
+        return run
+
+    alone, several = (_open(runs, by_place).drop("here").mapInArrow(picked(x), kinds) for x in (False, True))
+    return alone, _open(several, by_place).join(least, LIKE, "left")
 
 
-def after_first(runs: DataFrame, size: int, by_place: bool) -> DataFrame:
+def after_first(runs: DataFrame, least: DataFrame, size: int, by_place: bool) -> DataFrame:
     """Intervals of the runs that are like an earlier one, and those that are settled already."""
-    done, (here, least) = F.col("kind") == 1, _least(by_place)
-    out = runs.withColumn("_least", least).where(done | (here > F.col("_least")))
-    return out.select("doc_id", "t", "lo", (F.col("lo") + F.col("n") + F.when(done, 0).otherwise(size - 1)).alias("hi"))
+    later = _by_head(runs, least, by_place)[1].where("here > head").select("doc_id", "t", "lo", (F.col("lo") + F.col("n") + size - 1).alias("hi"))
+    return later.unionByName(runs.where("kind = 1").select("doc_id", "t", "lo", (F.col("lo") + F.col("n")).alias("hi")))
 
 
-def first_runs(runs: DataFrame) -> DataFrame:
-    """The first of the runs that are alike, by document and place."""
-    here, least = _least(True)
-    return runs.withColumn("_least", least).where((F.col("kind") == 0) & (here == F.col("_least"))).drop("_least")
+def first_runs(runs: DataFrame, least: DataFrame) -> DataFrame:
+    """(a, r, doc_id, lo) of the first of the runs that are alike, by document and place."""
+    alone, several = _by_head(runs, least, True)
+    return alone.select("a", "r", "doc_id", "lo").unionByName(several.where("head is null or here = head").select("a", "r", "doc_id", "lo"))
 
 
 def batch(names: list[str], columns) -> pa.RecordBatch:

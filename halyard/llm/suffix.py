@@ -9,7 +9,8 @@
    the array into classes of equal windows, of which all but the first are removed.
 4. An anchor with more than MOST_STRINGS unlike strings (a common line in ever other surroundings) is split: its windows are
    strings by themselves, dealt by their content and not by the anchor, combined before they are shuffled.
-Anchors, runs and single windows are compared by pairs of 64-bit hashes, strings in shards by their bytes.
+Anchors are found by 64-bit hashes; runs and single windows are equal if the BLAKE2 digests (128 bits) of their bytes are,
+strings in shards are compared by their bytes.  Texts of any length are read in pieces.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import binary_rows, bitmap, bounds, bytes_of, in_bitmap, stash, text_slices, whole_groups
-from .repeats import RUNS, after_first, batch, cut_out, first_runs, keyed, merged, removed_mask, settled
+from .common import binary_rows, bitmap, bounds, in_bitmap, stash, text_slices, whole_groups
+from .repeats import RUNS, after_first, batch, cut_out, first_runs, heads, keyed, merged, pieces, removed_mask, settled
 
 GRAM = 32
+PLACE_BITS = 24  # of a place within a slice; the same for all slices, as equal windows must have equal anchors everywhere
 MOST_STRINGS = 256
 
 # --- suffix arrays -------------------------------------------------------------------------------------------------
@@ -132,9 +134,16 @@ def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
     end = np.minimum(np.append(first[1:], n - 1) + 1, n)
     stop = np.zeros(n, np.int64)
     stop[first] = end
-    h = K.spans(K.sums(s.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x632BE59BD9B4E019)), order, stop[order])
     last = stop[order] == n
-    unlike = np.append(True, (h[1:] != h[:-1]) | last[1:] | last[:-1])
+    long = stop[order] - order
+    unlike = np.append(True, (long[1:] != long[:-1]) | last[1:] | last[:-1])
+    pair, k = np.flatnonzero(~unlike), 0
+    while len(pair):  # compared value by value with the one before in the order, while alike
+        same = s[order[pair] + k] == s[order[pair - 1] + k]
+        unlike[pair[~same]] = True
+        k += 1
+        pair = pair[same]
+        pair = pair[long[pair] > k]
     name = np.zeros(n, np.int64)
     name[order] = np.cumsum(unlike) - 1
     names = name[first]
@@ -180,14 +189,15 @@ def common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
 
 
 def _runs_of(data: np.ndarray, off: np.ndarray, size: int, gram: int):
-    """(prefix sums, text, anchor hash, first window, how many) of the runs of texts laid end to end."""
-    s = K.sums(K.byte_codes(data))
+    """(text, anchor hash, first window, how many) of the runs of texts laid end to end, of less than 2**PLACE_BITS bytes."""
     n = len(data)
     if n < size:
         e = np.zeros(0, np.int64)
-        return s, e, e.astype(np.uint64), e, e
-    h = K.rolling(s, gram)
-    bits = np.uint64(max(n, 2).bit_length())
+        return e, e.astype(np.uint64), e, e
+    if n >> PLACE_BITS:
+        raise ValueError("a slice is too long for its places")
+    h = K.rolling(K.sums(K.byte_codes(data)), gram)
+    bits = np.uint64(PLACE_BITS)
     low = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # the hash, then the place: of equal ones the leftmost is the least
     width, span = size - gram + 1, 1
     while span * 2 <= width:
@@ -207,19 +217,20 @@ def _runs_of(data: np.ndarray, off: np.ndarray, size: int, gram: int):
     text = np.searchsorted(off, lo, "right") - 1
     last = off[text] + m[text]
     many = np.minimum(np.append(lo[1:], n), last) - lo
-    return s, text, h[at[lo]], lo, many
+    return text, h[at[lo]], lo, many
 
 
-def _slices(batches):
+def _slices(batches, size: int):
+    """Of each piece of text: (doc, mark, base), bytes, offsets."""
     for t in text_slices(batches, most=1 << 19):
-        data, off = bytes_of(t["text"])
-        yield t, data, off
+        for doc, mark, base, data, off in pieces(t, size, words=False):
+            yield (doc, mark, base), data, off
 
 
 def _anchors(size: int, gram: int):
     def run(batches):
-        for _, data, off in _slices(batches):
-            _, _, a, _, _ = _runs_of(data, off, size, gram)
+        for _, data, off in _slices(batches, size):
+            _, a, _, _ = _runs_of(data, off, size, gram)
             v, c = np.unique(a, return_counts=True)
             yield batch(["a", "c"], [v.view(np.int64), np.minimum(c, 2).astype(np.int32)])
     return run
@@ -227,11 +238,11 @@ def _anchors(size: int, gram: int):
 
 def _runs(size: int, gram: int, bits):
     def run(batches):
-        for t, data, off in _slices(batches):
-            s, text, a, lo, n = _runs_of(data, off, size, gram)
+        for own, data, off in _slices(batches, size):
+            text, a, lo, n = _runs_of(data, off, size, gram)
             ok = in_bitmap(bits.value, a)
             text, a, lo, n = text[ok], a[ok], lo[ok], n[ok]
-            yield settled(t, off, size, text, a, K.spans(s, lo, lo + n - 1 + size), lo, n, True)
+            yield settled(*own, off, size, text, a, K.digests(data.tobytes(), lo, lo + n - 1 + size), lo, n, True)
     return run
 
 
@@ -250,16 +261,14 @@ def _strings(size: int, gram: int, unlike, hot, firsts):
     """The first of like runs as strings, of anchors with unlike ones that are not hot."""
 
     def run(batches):
-        for t, data, off in _slices(batches):
-            s, text, a, lo, n = _runs_of(data, off, size, gram)
+        for (docs, marks, base), data, off in _slices(batches, size):
+            text, a, lo, n = _runs_of(data, off, size, gram)
             ok = in_bitmap(unlike.value, a) & ~in_bitmap(hot.value, a)
             text, a, lo, n = text[ok], a[ok], lo[ok], n[ok]
-            doc, place = t["doc_id"].combine_chunks().to_numpy()[text], lo - off[text]
-            ok = in_bitmap(firsts.value, _name(a, K.spans(s, lo, lo + n - 1 + size), doc, place))
-            raw = data.tobytes()
-            mark = t["t"].combine_chunks().to_numpy()[text[ok]]
+            doc, place, raw = docs[text], lo - off[text] + base[text], data.tobytes()
+            ok = in_bitmap(firsts.value, _name(a, K.digests(raw, lo, lo + n - 1 + size)[0], doc, place))
             cut = [raw[x: y] for x, y in zip(lo[ok].tolist(), (lo[ok] + n[ok] - 1 + size).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok].view(np.int64)), pa.array(doc[ok]), pa.array(mark), pa.array(place[ok].astype(np.int64)), pa.array(n[ok].astype(np.int64)), pa.array(cut, pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok].view(np.int64)), pa.array(doc[ok]), pa.array(marks[text[ok]]), pa.array(place[ok].astype(np.int64)), pa.array(n[ok].astype(np.int64)), pa.array(cut, pa.binary())],
                                              names=["a", "doc_id", "t", "lo", "n", "s"])
     return run
 
@@ -268,13 +277,13 @@ def _windows(size: int, gram: int, hot):
     """The windows of hot anchors, each by itself."""
 
     def run(batches):
-        for t, data, off in _slices(batches):
-            s, text, a, lo, n = _runs_of(data, off, size, gram)
+        for own, data, off in _slices(batches, size):
+            text, a, lo, n = _runs_of(data, off, size, gram)
             ok = in_bitmap(hot.value, a)
             text, a, lo, n = text[ok], a[ok], lo[ok], n[ok]
             row = np.repeat(np.arange(len(n)), n)
             at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
-            yield settled(t, off, size, text[row], a[row], K.spans(s, at, at + size), at, np.ones(len(at), np.int64), True)
+            yield settled(*own, off, size, text[row], a[row], K.digests(data.tobytes(), at, at + size), at, np.ones(len(at), np.int64), True)
     return run
 
 
@@ -297,13 +306,15 @@ def _shards(size: int, most: int = 1 << 20):
         group = np.cumsum(~equal)
         w = of[order]
         group, w = group[w >= 0], w[w >= 0]
+        # by document and place; versions of a document that hold a window at one place share its rank
         rank = np.empty(len(row), np.int64)
         by = np.lexsort((lo[row] + place, doc[row]))
-        rank[by] = np.arange(len(by))
+        g = bounds(doc[row][by], (lo[row] + place)[by])
+        rank[by] = np.repeat(np.arange(len(g) - 1), np.diff(g))
         o = np.lexsort((rank[w], group))
         group, w = group[o], w[o]
-        later = np.append(False, group[1:] == group[:-1])
-        w = np.sort(w[later])
+        g = bounds(group)
+        w = np.sort(w[rank[w] > np.repeat(rank[w[g[:-1]]], np.diff(g))])
         g, x, y = merged(row[w], lo[row[w]] + place[w], lo[row[w]] + place[w] + size)
         return batch(["doc_id", "t", "lo", "hi"], [doc[g], mark[g], x.astype(np.int64), y.astype(np.int64)])
 
@@ -326,14 +337,16 @@ def repeated_bytes(docs: DataFrame, size: int = 100, gram: int = GRAM) -> DataFr
     often = texts.mapInArrow(_anchors(size, gram), "a bigint, c int").groupBy("a").agg(F.sum("c").alias("c")).where("c > 1")
     bits = spark.sparkContext.broadcast(bitmap(often, "a"))
     runs = stash(texts.mapInArrow(_runs(size, gram, bits), RUNS), "byte-runs")
-    kinds = runs.where("kind = 0").select("a", "r").distinct().groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
+    kinds = runs.where("kind = 0").select("a", "r", "q").distinct().groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
     kinds = stash(kinds, "byte-anchors")
     unlike, hot = (spark.sparkContext.broadcast(bitmap(x, "a")) for x in (kinds, kinds.where(F.col("m") > MOST_STRINGS)))
-    firsts = spark.sparkContext.broadcast(bitmap(first_runs(runs).select("a", "r", "doc_id", "lo").mapInArrow(_names, "h bigint"), "h"))
-    strings = texts.mapInArrow(_strings(size, gram, unlike, hot, firsts), "a bigint, doc_id bigint, t int, lo bigint, n bigint, s binary")
-    shards = strings.repartition("a").sortWithinPartitions("a").mapInArrow(_shards(size), "doc_id bigint, t int, lo bigint, hi bigint")
-    single = texts.mapInArrow(_windows(size, gram, hot), RUNS)
-    return after_first(runs, size, True).unionByName(shards).unionByName(after_first(single, size, True))
+    least = heads(runs, True, "byte-heads")
+    firsts = spark.sparkContext.broadcast(bitmap(first_runs(runs, least).mapInArrow(_names, "h bigint"), "h"))
+    strings = texts.mapInArrow(_strings(size, gram, unlike, hot, firsts), "a bigint, doc_id bigint, t bigint, lo bigint, n bigint, s binary")
+    shards = strings.repartition("a").sortWithinPartitions("a").mapInArrow(_shards(size), "doc_id bigint, t bigint, lo bigint, hi bigint")
+    single = stash(texts.mapInArrow(_windows(size, gram, hot), RUNS), "byte-windows")
+    split = after_first(single, heads(single, True, "byte-heads"), size, True)
+    return after_first(runs, least, size, True).unionByName(shards).unionByName(split)
 
 
 def _cut(batches):
