@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, only, text_slices
+from .common import bytes_of, give_back, only, text_slices
 
 #: Families of languages; one that is not listed is a family of its own.
 FAMILIES = {
@@ -64,21 +64,18 @@ def _pieces(text: str) -> list[str]:
 
 
 def _to_vectors(batches):
+    """The language and the non-zero features (places and values) of every piece."""
     for t in text_slices(batches, most=1 << 19):
-        lang, texts = [], []
-        for a, s in zip(t["lang"].to_pylist(), t["text"].to_pylist(), strict=True):
-            for piece in _pieces(s):
-                lang.append(a)
-                texts.append(piece)
-        x = _features(pa.array(texts, pa.string())).astype(np.float32)
-        yield pa.RecordBatch.from_pydict({"lang": lang, "x": [r.tobytes() for r in x]})
-
-
-def _svm(x: np.ndarray, y: np.ndarray, strength: float = 30.0, rounds: int = 60) -> np.ndarray:
-    """Weights (the last is the bias) of a linear machine with squared hinge, classes weighted alike."""
-    x1 = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
+        for lang, text in zip(t["lang"].to_pylist(), t["text"].to_pylist(), strict=True):
+            x = _features(pa.array(_pieces(text), pa.string())).astype(np.float32)
+            at = [np.flatnonzero(r).astype(np.uint16) for r in x]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x), pa.string()), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(x, at, strict=True)], pa.binary())], names=["lang", "at", "x"])
+
+
+def _svm(x1: np.ndarray, y: np.ndarray, strength: float = 30.0, rounds: int = 60) -> np.ndarray:
+    """Weights (the last is the bias) of a linear machine with squared hinge, classes weighted alike; the last column of x1 is 1."""
     c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * strength
-    w = v = np.zeros(x1.shape[1], x.dtype)
+    w = v = np.zeros(x1.shape[1], x1.dtype)
     step = 1.0 / (1.0 + 4 * strength)
     for t in range(rounds):
         slack = np.maximum(0, 1 - y * (x1 @ v))
@@ -88,39 +85,46 @@ def _svm(x: np.ndarray, y: np.ndarray, strength: float = 30.0, rounds: int = 60)
 
 
 def train(labelled: DataFrame, per_lang: int = 200, families: dict[str, str] | None = None) -> dict:
-    """Fit on (doc_id, text, lang): at most `per_lang` documents of each language, those with the least MD5 of their id.
+    """Fit on (doc_id, text, lang): at most `per_lang` documents of each language, those with the least hash of id and text.
 
-    Rows without text, lang or doc_id teach nothing.  Without any, the model predicts `und` for every text.
+    Rows alike in id, text and language teach once, however many there are; a language with fewer than `per_lang` different rows
+    is learned from all of them.  Rows without text, lang or doc_id teach nothing.  Without any, the model predicts `und` for every text.
     """
     families = FAMILIES if families is None else families
     rows = labelled.where("text is not null and lang is not null and doc_id is not null")
-    keyed = rows.withColumn("_h", F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("bigint"))
-    counts = {r[0]: r[1] for r in keyed.groupBy("lang").count().collect()}
+    keyed = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 32))
+    counts = {r[0]: max(1, r[1]) for r in keyed.groupBy("lang").agg(F.approx_count_distinct("_h")).collect()}
     if not counts:
         return {"langs": [], "family": {}, "heads": {}, "pairs": {}}
-    # a threshold on the hash first, so that no more than about twice the sample is ever sorted
-    limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(2.0 * per_lang / n, 1.0) * 2**32) + 1))])
-    few = keyed.where(F.col("_h") < limit[F.col("lang")])
+    # a threshold on the hash first, so that no more than about three times the sample is ever sorted; it is far above the
+    # share needed, so that it leaves too few with no probability that matters
+    limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(3.0 * max(per_lang, 100) / n, 1.0) * 2**32) + 1))])
+    few = keyed.where(F.col("_h") < limit[F.col("lang")]).groupBy("lang", "_h", "doc_id").agg(F.min("text").alias("text"))
     few = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text"))).where(F.col("_r") <= per_lang)
-    got = few.orderBy("lang", "_r").select("lang", "text").mapInArrow(_to_vectors, "lang string, x binary").collect()
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in got])
-    y = np.array([r["lang"] for r in got])
-    use = (x != 0).any(1)
-    x, y = x[use], y[use]
-    langs = sorted(set(y.tolist()))
+    got = few.orderBy("lang", "_r").select("lang", "text").mapInArrow(_to_vectors, "lang string, at binary, x binary").toArrow()
+    x = np.zeros((got.num_rows, DIM + 1), np.float32)  # at most three pieces for each sampled document
+    for i, (at, v) in enumerate(zip(got["at"].to_pylist(), got["x"].to_pylist(), strict=True)):
+        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(v, np.float32)
+    use = np.flatnonzero(x.any(1))
+    x[:, DIM] = 1
+    y = np.array(got["lang"].to_pylist(), object)
+    langs = sorted(set(y[use].tolist()))
     fam = {a: families.get(a, a) for a in langs}
-    f = np.array([fam[a] for a in y])
+    f = np.array([fam.get(a, "") for a in y], object)
     names = sorted(set(fam.values()))
+    sign = lambda mine: np.where(mine, 1.0, -1.0).astype(np.float32)
     if len(names) == 2:  # the second machine is the first one's mirror image
-        w = _svm(x, np.where(f == names[0], 1.0, -1.0).astype(np.float32))
+        w = _svm(x[use], sign(f[use] == names[0]))
         heads = {names[0]: w, names[1]: -w}
     else:
-        heads = {n: _svm(x, np.where(f == n, 1.0, -1.0).astype(np.float32)) if len(names) > 1 else None for n in names}
+        heads = {n: _svm(x[use], sign(f[use] == n)) if len(names) > 1 else None for n in names}
     pairs = {}
     for a, b in combinations(langs, 2):
         if fam[a] == fam[b]:
-            two = (y == a) | (y == b)
-            pairs[a, b] = _svm(x[two], np.where(y[two] == a, 1.0, -1.0).astype(np.float32))
+            two = use[(y[use] == a) | (y[use] == b)]
+            pairs[a, b] = _svm(x[two], sign(y[two] == a))
+    del x, got
+    give_back()
     return {"langs": langs, "family": fam, "heads": heads, "pairs": pairs}
 
 

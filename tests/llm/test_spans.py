@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 
 import brute
 
@@ -31,10 +33,28 @@ def test_ledger_is_incremental(spark, tmp_path):
     assert {r["doc_id"]: r["spans"] for r in again.collect()} == {7: brute.said(brute.spans(MADE[0], brute.SECRETS)), 8: "access:0:20"}
     assert spark.read.parquet(folder).count() == 3
     assert secrets.scan(spark.createDataFrame([], TEXT)).count() == 0
+    spark.read.parquet(folder).where("n_assign = 1").write.mode("append").parquet(folder)  # as by a run that overlaps
+    assert secrets.scan(spark.createDataFrame([(7, MADE[0]), (9, MADE[0])], TEXT), folder).count() == 2
     row = got.where("doc_id = 3").first()
     assert row["base_sha256"] == hashlib.sha256(b"").hexdigest() and row["text"] is None
 
 
+def test_ledger_stays_in_the_shared_folder(spark):
+    docs = spark.createDataFrame([(1, "one " + MADE[0]), (2, "two"), (3, "two")], TEXT)
+    first = sorted(map(tuple, secrets.scan(docs).collect()))
+    rows = secrets.entries(spark, secrets.ledger_folder(spark)).count()
+    assert sorted(map(tuple, secrets.scan(docs.repartition(3)).collect())) == first
+    assert secrets.entries(spark, secrets.ledger_folder(spark)).count() == spark.read.parquet(secrets.ledger_folder(spark)).count() == rows
+
+
+def test_tokens_of_three_parts():
+    rule = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice(("eyJ", "eyJabcdefghij", ".", "0123456789", "-", " ", "x")) for _ in range(rng.randint(0, 14)))
+        assert [(a, b) for _, a, b in secrets._jwt(text)] == [m.span() for m in rule.finditer(text)], text
+
+
 def test_base_rules_of_personal_data():
     rng = random.Random(2)
     for _ in range(5000):
@@ -67,14 +87,70 @@ def test_added_spans_of_every_trained_form():
             assert pii.added_spans(w, text, pii.base_spans(text)) == [(kind, at, at + len(form))], text
 
 
-def test_signs_miss_no_shape():
+def all_spans(w, text, base):
+    """The best segmentation by a plain programme over every run of tokens of the whole text."""
+    kinds, lo, hi, (rows, free) = pii.candidates(text, base)
+    scored = {}
+    for k, a, b, s, ok in zip(kinds, lo.tolist(), hi.tolist(), pii.scores(w, rows) if len(lo) else [], free, strict=True):
+        if ok:
+            scored.setdefault(b, []).append((a, pii.KINDS[k], float(s)))
+    best = [(0.0, ())]
+    for at in range(1, len(text) + 1):
+        top = best[at - 1]
+        for a, k, s in scored.get(at, ()):
+            if best[a][0] + s > top[0]:
+                top = (best[a][0] + s, (*best[a][1], (k, a, at)))
+        best.append(top)
+    return best[-1]
+
+
+def test_segmentation_is_the_best_of_all():
     rng = random.Random(4)
     w = pii.train()
-    for _ in range(3000):
+    for _ in range(300):
         text = " ".join(rng.choice((pii._made(rng)[0], "".join(rng.choice("1234567 .-/()") for _ in range(30)), "word " * rng.randint(1, 40))) for _ in range(rng.randint(1, 3)))
         base = pii.base_spans(text)
-        assert pii.added_spans(w, text, base) == pii.segment(w, text, 0, len(text), base), text
-    pii.added_spans(w, "1" + "(" * 200 + " 2" + " ." * 200, [])  # in linear time
+        total, spans = all_spans(w, text, base)
+        got = pii.segment(w, text, base)
+        kinds, lo, hi, (rows, _) = pii.candidates(text, base)
+        worth = {(pii.KINDS[k], a, b): s for k, a, b, s in zip(kinds, lo.tolist(), hi.tolist(), pii.scores(w, rows) if len(lo) else [], strict=True)}
+        assert abs(sum(worth[s] for s in got) - total) < 1e-6
+        assert all(x[2] <= y[1] for x, y in zip(got, got[1:]))
+        assert not any(a < y and x < b for _, a, b in got for _, x, y in base)
+
+
+def test_boundaries_are_chosen():
+    w = pii.train()
+    for text, want in (("call 555-123-4567 2 times", "555-123-4567"), ("phone: 030 123 4567 2024", "030 123 4567"), ("visa 4111/1111/1111/1111 12", "4111/1111/1111/1111"), ("mail joe.doe @ foo.com now", "joe.doe @ foo.com")):
+        kinds, lo, hi, _ = pii.candidates(text, [])
+        at = text.index(want)
+        assert len({h for x, h in zip(lo, hi, strict=True) if x == at}) > 1 or "@" in text  # several ends at one start
+        assert [text[a:b] for _, a, b in pii.added_spans(w, text, pii.base_spans(text))] == [want]
+
+
+def test_held_out_sentences():
+    rng, w = random.Random(99), pii.train()
+    hit = extra = missed = 0
+    for _ in range(500):
+        text, spans = pii._made(rng)
+        base = pii.base_spans(text)
+        got = set(pii.added_spans(w, text, base))
+        gold = {s for s in spans if not any(a < s[2] and s[1] < b for _, a, b in base)}
+        hit, extra, missed = hit + len(got & gold), extra + len(got - gold), missed + len(gold - got)
+    assert hit > 300 and hit / (hit + extra) > 0.95 and hit / (hit + missed) > 0.95
+
+
+def test_long_texts_take_linear_time():
+    w = pii.train()
+    for part in ("1 ", "a@", "a (at) ", "x 10.0.0.1 ", "1(", "joe @ foo ", "0." * 3, "+1-"):
+        text = part * 20_000
+        began = time.process_time()
+        pii.added_spans(w, text, pii.base_spans(text))
+        assert time.process_time() - began < 8, part
+    for text in ("eyJ" * 60_000, "token " * 40_000, "eyJabcdefghij0." * 20_000):
+        began = time.process_time()
+        secrets.find(text)
+        assert time.process_time() - began < 2, text[:6]
 
 
 def test_personal_data_query(spark):
@@ -105,3 +181,14 @@ def test_language_odd_inputs(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
     one = langid.train(docs.where("lang = 'en'"))
     assert langid.identify(docs.where("doc_id = 2"), one).first()["lang_pred"] == "en"
+
+
+def test_language_of_rows_that_repeat(spark):
+    rows = [(7, f"the cat number {i} sat on the mat and slept", "en") for i in range(1000)] + [(7, "der hund und die katze schlafen heute", "de")] * 1000 + [(9, "le chat dort", "fr")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5), per_lang=20)
+    assert model["langs"] == ["de", "en", "fr"]
+    docs = spark.createDataFrame([(1, "the mat"), (2, "und die katze")], TEXT)
+    assert [r["lang_pred"] for r in langid.identify(docs, model).orderBy("doc_id").collect()] == ["en", "de"]
+    only_one = langid.train(spark.createDataFrame([(7, "the cat sat", "en")] * 1000, "doc_id bigint, text string, lang string"))
+    assert only_one["langs"] == ["en"]
+    assert langid.identify(docs.limit(0), model).count() == 0
