@@ -314,7 +314,7 @@ def pack(cut: DataFrame, capacity: int = 4096, bucket_rows: int = 50_000) -> Dat
     # planning is cheap, so several bounds of what is large and numbers of groups are tried; the fewest sequences win
     table = min((plan(counts, capacity, share, k) for share in (4, 2) for k in (16, 24, 32)), key=sequences_of)
     buckets = max(16, -(-sum(counts.values()) // bucket_rows))
-    cut = cut.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    cut = cut.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     cells = cut.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_ahead", F.coalesce(F.sum("_n").over(upto), F.lit(0).cast("bigint"))).drop("_n")
