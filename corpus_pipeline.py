@@ -57,7 +57,7 @@ def _redact(names):
 def secret_scan(spark, docs, sf_dir):
     """Every span found is replaced by the name of its kind; n_chars follows.  Documents without spans stay as they are."""
     names = docs.columns
-    found = secrets.scan(docs, carry_text=True)
+    found = stash(secrets.scan(docs, carry_text=True), "scanned")  # read twice below
     clean = found.where("spans = ''").select(names)
     dirty = found.where("spans <> ''").select(*names, "spans").mapInArrow(_redact(names), docs.schema)
     return clean.unionByName(dirty.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(names))
