@@ -1,6 +1,7 @@
 """Hand values and published golden values of the scalar functions, draws and statistics."""
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -79,12 +80,19 @@ def test_holm(spark):
 
 def test_small_tests(spark):
     assert stats.mcnemar(0, 0) == 1.0 and stats.mcnemar(1, 9) == pytest.approx(22 / 1024)
-    assert stats.wilcoxon(0, 0, 0)["p_value"] == 1.0
+    assert stats.signed_rank_test(0, 0, 0)[:3] == (0, 1.0, 0.0)
+    assert stats.signed_rank_test(5, 0, 15)[:3] == (5, 2 / 32, -1.0)  # one choice of 32 on either side
+    for n in (3, 6, 9):
+        sums = [sum(r for r, bit in enumerate(bits, 1) if bit) for bits in itertools.product((0, 1), repeat=n)]
+        for w in range(n * (n + 1) // 2 + 1):
+            assert stats.rank_sum_below(n, w) == sum(x <= w for x in sums) / 2**n
+    exact, near = stats.signed_rank_test(40, 300, 520), stats.signed_rank_test(40, 300, 520, exact_to=0)
+    assert exact.exact and not near.exact and exact.p == pytest.approx(near.p, abs=0.01)
     r = stats.signed_ranks(spark.createDataFrame([(1.0, 0.0), (2.0, 0.0), (0.0, 2.0), (5.0, 5.0)], "a double, b double"), "a", "b").first()
     assert (r["n_nonzero"], r["w_plus"], r["w_minus"]) == (3, 3.5, 2.5)
-    assert stats.slope([1, 2, 3], [[2, 4, 6], [1, 1, 1]]) == pytest.approx([2, 0])
+    assert stats.row_slopes([1, 2, 3], [[2, 4, 6], [1, 1, 1]]) == pytest.approx([2, 0])
     assert np.isnan(stats.spearman_rows([1, 1, 1], [1, 2, 3])[0]) and stats.spearman_rows([1, 2, 9], [2, 3, 4])[0] == pytest.approx(1)
-    assert stats.two_sided_p([1, 2, 3]) == 1 / 2000
+    assert stats.sign_p([1, 2, 3]) == 1 / 2000 and stats.sign_p([-1, 0, 1, 2, float('nan')]) == 1.0 and stats.sign_p([-1, *[1] * 9]) == 0.2
     with pytest.raises(ValueError):
         stats.interval([1.0, float("nan")])
 
@@ -92,7 +100,9 @@ def test_small_tests(spark):
 def test_bootstrap_is_shared():
     i = stats.resamples(7, 50)
     x = np.arange(7.0)
-    assert stats.replicate_means(x, i) == pytest.approx(stats.weights(i) @ x / 7)
+    assert stats.resampled_means(x, stats.weights(i)) == pytest.approx([sum(x[k] for k in row) / 7 for row in i])
+    lo, hi = stats.mean_interval(x, 500)
+    assert 0 <= lo < 3 < hi <= 6
     assert (stats.resamples(7, 50) == i).all()
 
 
@@ -103,4 +113,11 @@ def test_random_intercept_recovers_a_slope():
     y = 2 * x + np.repeat([0.5, -0.5, 0.1], 8) + r.normal(0, 0.05, 24)
     fit = stats.random_intercept(y, np.stack([np.ones(24), x], 1), g)
     assert fit["coef"][1] == pytest.approx(2, abs=0.1) and fit["ci95"][1][0] < 2 < fit["ci95"][1][1] and fit["group_var"] > 0
-    assert "fit_failed" in stats.random_intercept([1, 1], np.ones((2, 2)), [1, 1])
+    assert "undetermined" in stats.random_intercept([1, 1], np.ones((2, 2)), [1, 1])
+
+
+def test_gates(spark):
+    rows = spark.createDataFrame([("a", 0.9, 0.91), ("a", 0.8, 0.85), ("b", 0.9, 0.5), ("c", None, 0.4)], "g string, x double, y double")
+    got = {r["g"]: (r["passed"], r["failed"]) for r in stats.gate(rows, {"high": F.avg("x") >= 0.85, "steady": F.min("y") > 0.6}, "g").collect()}
+    assert got == {"a": (True, []), "b": (False, ["steady"]), "c": (False, ["high", "steady"])}
+    assert {r["g"]: r["shifted"] for r in stats.calibration_shift(rows, "x", "y", 0.1, "g").collect()} == {"a": False, "b": True, "c": None}
