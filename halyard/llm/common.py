@@ -193,7 +193,23 @@ def binary_rows(column, dtype) -> tuple[np.ndarray, np.ndarray]:
 BITMAP_BITS = 27
 
 
-def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+class Bits:
+    """2**BITMAP_BITS bits; as long as most 64-bit words of them are 0, only the others are sent to the tasks."""
+
+    def __init__(self, at: np.ndarray, words: np.ndarray):
+        self.at, self.words, self._all = at.astype(np.int32), words.astype(np.uint64), None
+
+    def __getstate__(self):
+        return {"at": self.at, "words": self.words, "_all": None}
+
+    def all(self) -> np.ndarray:
+        if self._all is None:
+            self._all = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+            self._all[self.at] = self.words
+        return self._all
+
+
+def bitmap(hashes: DataFrame, column: str) -> Bits:
     """2**27 bits (16 MB, whatever the number of rows): two for each 64-bit hash, at its first and its next 27 bits.
 
     A filter that lets every member through and, the fuller it is, more of the rest; what follows it must be exact.
@@ -203,12 +219,12 @@ def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
     both = hashes.select(F.explode(F.array(at(0), at(BITMAP_BITS))).alias("p"))
     cells = both.select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
     got = cells.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
-    return out
+    return Bits(got["w"].to_numpy(), got["b"].to_numpy().view(np.uint64))
+
 
+def in_bitmap(filled: Bits, h: np.ndarray) -> np.ndarray:
+    bits = filled.all()
 
-def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     def has(p: np.ndarray) -> np.ndarray:
         return (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) != 0
 

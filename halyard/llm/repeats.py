@@ -132,19 +132,20 @@ def _open(runs: DataFrame, by_place: bool) -> DataFrame:
     return runs.where("kind = 0").withColumn("here", F.struct("doc_id", "lo") if by_place else F.struct("doc_id"))
 
 
-def heads(runs: DataFrame, by_place: bool, name: str) -> DataFrame:
-    """(a, r, q, head) of the runs that occur more than once: the first of them.
+def heads(runs: DataFrame, by_place: bool, name: str):
+    """(a, r, q, head) of the runs that occur more than once: the first of them; and a filter of these runs.
 
     A minimum that every task combines first, so that a run which all documents share meets in no one task; it is written
     before it is joined, as the exchange of an aggregate could not be split.
     """
     both = _open(runs, by_place).groupBy(*LIKE).agg(F.min("here").alias("head"), F.max("here").alias("tail"))
-    return stash(both.where("head < tail").drop("tail"), name)
+    least = stash(both.where("head < tail").drop("tail"), name)
+    return least, runs.sparkSession.sparkContext.broadcast(bitmap(least, "r"))
 
 
-def _by_head(runs: DataFrame, least: DataFrame, by_place: bool) -> tuple[DataFrame, DataFrame]:
+def _by_head(runs: DataFrame, first, by_place: bool) -> tuple[DataFrame, DataFrame]:
     """The open runs that occur once (with no head), and those that may not, beside their head; only the latter are shuffled."""
-    bits = runs.sparkSession.sparkContext.broadcast(bitmap(least, "r"))
+    least, bits = first
     kinds = runs.schema
 
     def picked(inside: bool):
@@ -157,15 +158,15 @@ def _by_head(runs: DataFrame, least: DataFrame, by_place: bool) -> tuple[DataFra
     return alone, _open(several, by_place).join(least, LIKE, "left")
 
 
-def after_first(runs: DataFrame, least: DataFrame, size: int, by_place: bool) -> DataFrame:
+def after_first(runs: DataFrame, first, size: int, by_place: bool) -> DataFrame:
     """Intervals of the runs that are like an earlier one, and those that are settled already."""
-    later = _by_head(runs, least, by_place)[1].where("here > head").select("doc_id", "t", "lo", (F.col("lo") + F.col("n") + size - 1).alias("hi"))
+    later = _by_head(runs, first, by_place)[1].where("here > head").select("doc_id", "t", "lo", (F.col("lo") + F.col("n") + size - 1).alias("hi"))
     return later.unionByName(runs.where("kind = 1").select("doc_id", "t", "lo", (F.col("lo") + F.col("n")).alias("hi")))
 
 
-def first_runs(runs: DataFrame, least: DataFrame) -> DataFrame:
+def first_runs(runs: DataFrame, first) -> DataFrame:
     """(a, r, doc_id, lo) of the first of the runs that are alike, by document and place."""
-    alone, several = _by_head(runs, least, True)
+    alone, several = _by_head(runs, first, True)
     return alone.select("a", "r", "doc_id", "lo").unionByName(several.where("head is null or here = head").select("a", "r", "doc_id", "lo"))
 
 
