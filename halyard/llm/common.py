@@ -199,13 +199,11 @@ class Bits:
     def __init__(self, at: np.ndarray, words: np.ndarray):
         self.at, self.words, self._all = at.astype(np.int32), words.astype(np.uint64), None
 
-    def __getstate__(self):
-        return {"at": self.at, "words": self.words, "_all": None}
-
     def all(self) -> np.ndarray:
         if self._all is None:
             self._all = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
             self._all[self.at] = self.words
+            self.at = self.words = None  # a task's copy, which is sent nowhere
         return self._all
 
 
