@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .common import bitmap, in_bitmap, stash, text_slices
-from .repeats import RUNS, after_first, batch, cut_out, heads, keyed, pieces, removed_mask, settled
+from .repeats import RUNS, Heads, batch, cut_out, keyed, pieces, removed_mask, settled
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -124,12 +124,11 @@ def repeated_words(docs: DataFrame, size: int = 50, block: int = 25) -> DataFram
     shared = probes.groupBy("h").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most")
     anchors = spark.sparkContext.broadcast(bitmap(shared, "h"))
     runs = stash(texts.mapInArrow(_runs(size, block, anchors), RUNS), "word-runs")
-    same = F.struct("r", "q")
-    unlike = runs.where("kind = 0").groupBy("a").agg(F.min(same).alias("x"), F.max(same).alias("y"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("x <> y and least < most")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("r", "q", "doc_id") for f in (F.min, F.max)]
+    unlike = runs.where("kind = 0").groupBy("a").agg(*ends).where("(min_r <> max_r or min_q <> max_q) and min_doc_id < max_doc_id")
     edges = spark.sparkContext.broadcast(bitmap(unlike, "a"))
     single = stash(texts.mapInArrow(_windows(size, block, anchors, edges), RUNS), "word-windows")
-    parts = [after_first(x, heads(x, False, "word-heads"), size, False) for x in (runs, single)]
-    return parts[0].unionByName(parts[1])
+    return Heads(runs, False, "word-heads").later(size).unionByName(Heads(single, False, "word-window-heads").later(size))
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, block: int = 25) -> DataFrame:

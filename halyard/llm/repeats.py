@@ -129,45 +129,46 @@ LIKE = ["a", "r", "q"]
 
 
 def _open(runs: DataFrame, by_place: bool) -> DataFrame:
-    return runs.where("kind = 0").withColumn("here", F.struct("doc_id", "lo") if by_place else F.struct("doc_id"))
+    """The open runs with `here`, a number that orders them by document and, `by_place`, place; numbers can be hash-aggregated."""
+    here = F.expr("cast(doc_id as decimal(19,0)) * 1099511627776BD + cast(lo as decimal(13,0))") if by_place else F.col("doc_id")
+    return runs.where("kind = 0").withColumn("here", here)
 
 
-def heads(runs: DataFrame, by_place: bool, name: str):
-    """(a, r, q, head) of the runs that occur more than once: the first of them; and a filter of these runs.
-
-    A minimum that every task combines first, so that a run which all documents share meets in no one task; it is written
-    before it is joined, as the exchange of an aggregate could not be split.
-    """
-    both = _open(runs, by_place).groupBy(*LIKE).agg(F.min("here").alias("head"), F.max("here").alias("tail"))
-    least = stash(both.where("head < tail").drop("tail"), name)
-    return least, runs.sparkSession.sparkContext.broadcast(bitmap(least, "r"))
-
-
-def _by_head(runs: DataFrame, first, by_place: bool) -> tuple[DataFrame, DataFrame]:
-    """The open runs that occur once (with no head), and those that may not, beside their head; only the latter are shuffled."""
-    least, bits = first
-    kinds = runs.schema
-
-    def picked(inside: bool):
-        def run(batches):
-            for b in batches:
-                yield b.filter(pa.array(in_bitmap(bits.value, b["r"].to_numpy()) == inside))
-        return run
-
-    alone, several = (_open(runs, by_place).drop("here").mapInArrow(picked(x), kinds) for x in (False, True))
-    return alone, _open(several, by_place).join(least, LIKE, "left")
+def _picked(bits, inside: bool):
+    def run(batches):
+        for b in batches:
+            b = b.filter(pa.array(in_bitmap(bits.value, b["r"].to_numpy()) == inside))
+            if b.num_rows:
+                yield b
+    return run
 
 
-def after_first(runs: DataFrame, first, size: int, by_place: bool) -> DataFrame:
-    """Intervals of the runs that are like an earlier one, and those that are settled already."""
-    later = _by_head(runs, first, by_place)[1].where("here > head").select("doc_id", "t", "lo", (F.col("lo") + F.col("n") + size - 1).alias("hi"))
-    return later.unionByName(runs.where("kind = 1").select("doc_id", "t", "lo", (F.col("lo") + F.col("n")).alias("hi")))
+class Heads:
+    """The runs that occur more than once, each of their rows beside the first of them.
 
+    The first is a minimum that every task combines before the shuffle, so that a run which all documents share meets in no
+    one task; it is written before it is joined, as the exchange of an aggregate could not be split.  Runs that occur once
+    are told apart by a filter and not shuffled to it.
+    """
 
-def first_runs(runs: DataFrame, first) -> DataFrame:
-    """(a, r, doc_id, lo) of the first of the runs that are alike, by document and place."""
-    alone, several = _by_head(runs, first, True)
-    return alone.select("a", "r", "doc_id", "lo").unionByName(several.where("head is null or here = head").select("a", "r", "doc_id", "lo"))
+    def __init__(self, runs: DataFrame, by_place: bool, name: str):
+        spark = runs.sparkSession
+        both = _open(runs, by_place).groupBy(*LIKE).agg(F.min("here").alias("head"), F.max("here").alias("tail"))
+        least = stash(both.where("head < tail").drop("tail"), name)
+        self.runs, self.bits = runs, spark.sparkContext.broadcast(bitmap(least, "r"))
+        several = runs.where("kind = 0").mapInArrow(_picked(self.bits, True), runs.schema)
+        self.several = stash(_open(several, by_place).join(least, LIKE, "left"), f"{name}-rows")
+
+    def later(self, size: int) -> DataFrame:
+        """Intervals of the runs that are like an earlier one, and those that are settled already."""
+        new = self.several.where("here > head").select("doc_id", "t", "lo", (F.col("lo") + F.col("n") + size - 1).alias("hi"))
+        return new.unionByName(self.runs.where("kind = 1").select("doc_id", "t", "lo", (F.col("lo") + F.col("n")).alias("hi")))
+
+    def first(self) -> DataFrame:
+        """(a, r, doc_id, lo) of the first of the runs that are alike."""
+        names = ["a", "r", "doc_id", "lo"]
+        alone = self.runs.where("kind = 0").select(*names).mapInArrow(_picked(self.bits, False), "a bigint, r bigint, doc_id bigint, lo bigint")
+        return alone.unionByName(self.several.where("head is null or here = head").select(*names))
 
 
 def batch(names: list[str], columns) -> pa.RecordBatch:

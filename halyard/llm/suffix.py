@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .common import binary_rows, bitmap, bounds, in_bitmap, stash, text_slices, whole_groups
-from .repeats import RUNS, after_first, batch, cut_out, first_runs, heads, keyed, merged, pieces, removed_mask, settled
+from .repeats import RUNS, Heads, batch, cut_out, keyed, merged, pieces, removed_mask, settled
 
 GRAM = 32
 PLACE_BITS = 24  # of a place within a slice; the same for all slices, as equal windows must have equal anchors everywhere
@@ -252,9 +252,15 @@ def _name(a: np.ndarray, r: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.n
     return K.mix(K.mix(h + doc.view(np.uint64)) + lo.astype(np.uint64))
 
 
-def _names(batches):
-    for b in batches:
-        yield batch(["h"], [_name(*(b[c].to_numpy() for c in ("a", "r", "doc_id", "lo"))).view(np.int64)])
+def _names(unlike):
+    """Names of the runs whose anchor has unlike ones."""
+
+    def run(batches):
+        for b in batches:
+            b = b.filter(pa.array(in_bitmap(unlike.value, b["a"].to_numpy())))
+            if b.num_rows:
+                yield batch(["h"], [_name(*(b[c].to_numpy() for c in ("a", "r", "doc_id", "lo"))).view(np.int64)])
+    return run
 
 
 def _strings(size: int, gram: int, unlike, hot, firsts):
@@ -340,13 +346,13 @@ def repeated_bytes(docs: DataFrame, size: int = 100, gram: int = GRAM) -> DataFr
     kinds = runs.where("kind = 0").select("a", "r", "q").distinct().groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
     kinds = stash(kinds, "byte-anchors")
     unlike, hot = (spark.sparkContext.broadcast(bitmap(x, "a")) for x in (kinds, kinds.where(F.col("m") > MOST_STRINGS)))
-    least = heads(runs, True, "byte-heads")
-    firsts = spark.sparkContext.broadcast(bitmap(first_runs(runs, least).mapInArrow(_names, "h bigint"), "h"))
+    heads = Heads(runs, True, "byte-heads")
+    firsts = spark.sparkContext.broadcast(bitmap(heads.first().mapInArrow(_names(unlike), "h bigint"), "h"))
     strings = texts.mapInArrow(_strings(size, gram, unlike, hot, firsts), "a bigint, doc_id bigint, t bigint, lo bigint, n bigint, s binary")
     shards = strings.repartition("a").sortWithinPartitions("a").mapInArrow(_shards(size), "doc_id bigint, t bigint, lo bigint, hi bigint")
     single = stash(texts.mapInArrow(_windows(size, gram, hot), RUNS), "byte-windows")
-    split = after_first(single, heads(single, True, "byte-heads"), size, True)
-    return after_first(runs, least, size, True).unionByName(shards).unionByName(split)
+    split = Heads(single, True, "byte-window-heads").later(size)
+    return heads.later(size).unionByName(shards).unionByName(split)
 
 
 def _cut(batches):
