@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import rng, stats
 from ..functions import vectors as vec
 from ..operators import effort, evolve, ivf, knn, models, validity
+from ..sources.tables import spooled
 
 K, CELLS, EFFORT = 10, 20, 5
 STATES = ("S0", "id_2", "id_8", "del_2", "del_8")
@@ -537,11 +538,12 @@ def regional_order(spark, d):
     return evolve.regional_order(pool, [evolve.prefix(n0, p) for p in (1, 2, 4, 8)])
 
 
-def curves_by_state(spark, d):
+def by_state(spark, d, which: int):
+    """Of every state its exact neighbours (which = 0) or its effort curve (1), from one table of all states that is written once."""
     base, queries, pool = parts(spark, d)
     n0 = base.count()
-    out = {s: evolve.state_curve(base, pool, queries, evolve.parse(s), CELLS, K, n0) for s in STATES}
-    return {s: t for s, (t, _) in out.items()}, {s: c for s, (_, c) in out.items()}
+    every = spooled(stacked({s: evolve.state_curve(base, pool, queries, evolve.parse(s), CELLS, K, n0)[which] for s in STATES}), "states")
+    return {s: every.where(F.col("state") == s).drop("state") for s in STATES}
 
 
 def stacked(frames):
@@ -557,14 +559,14 @@ def stacked(frames):
 from states s cross join q left join (select a.state, a.query_id, a.vec_id from knn_s a join knn_s b on b.state = 'S0' and b.query_id = a.query_id and b.vec_id = a.vec_id) a on a.state = s.state and a.query_id = q.query_id
 where s.state <> 'S0' group by 1, 2""")
 def overlap_decay(spark, d):
-    truth, _ = curves_by_state(spark, d)
+    truth = by_state(spark, d, 0)
     return stacked({s: evolve.overlap(truth[s], truth["S0"], K) for s in STATES[1:]})
 
 
 @query("with " + VECTORS + STATE + """ select a.state, a.query_id, round((sqrt(a.sqdist) - sqrt(b.sqdist)) / sqrt(b.sqdist), 9) as drift
 from knn_s a join knn_s b on b.state = 'S0' and b.query_id = a.query_id and b.rk = 10 where a.rk = 10 and a.state <> 'S0'""")
 def density_drift(spark, d):
-    truth, _ = curves_by_state(spark, d)
+    truth = by_state(spark, d, 0)
     return stacked({s: evolve.density_drift(truth[s], truth["S0"], K) for s in STATES[1:]}).withColumn("drift", F.round("drift", 9))
 
 
@@ -583,7 +585,7 @@ def distribution_drift(spark, d):
 
 def panel_of(spark, d):
     """Frozen mix, state-local mix and a fixed effort, for the test queries of every state."""
-    _, curves = curves_by_state(spark, d)
+    curves = by_state(spark, d, 1)
     _, queries, _ = parts(spark, d)
     test = queries.select("query_id").where(is_test())
     u = rng.uniform(F.col("query_id"), "sift_query", 20261006)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rng, stats
 from ..functions import vectors as vec
 from ..operators import effort, evolve, models
-from .contract import CANDS, CELLS, FIXED, K, PREDICTED, STATE, STATES, STRATA, TIER_EFS, TO_CURVE, TO_FIXED, TO_LABELS, VECTORS, base_curve, cands_of, curves_by_state, features_of, is_test, parts, read, routed_of, stacked, strata_of
+from .contract import CANDS, CELLS, FIXED, K, PREDICTED, STATE, STATES, STRATA, TIER_EFS, TO_CURVE, TO_FIXED, TO_LABELS, VECTORS, base_curve, by_state, cands_of, features_of, is_test, parts, read, routed_of, stacked, strata_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,7 +32,7 @@ labels_s as (select state, query_id, min(case when ok = 1 then ef end) as oracle
 
 
 def labels_by_state(spark, d):
-    truth, curves = curves_by_state(spark, d)
+    truth, curves = by_state(spark, d, 0), by_state(spark, d, 1)
     return truth, {s: effort.oracle_labels(c, K) for s, c in curves.items()}
 
 
@@ -52,7 +52,7 @@ def effort_change(spark, d):
 @query(TO_STATES + """, d as (select a.state, sqrt(a.sqdist) as x, sqrt(b.sqdist) as y from knn_s a join knn_s b on b.state = 'S0' and b.query_id = a.query_id and b.rk = 10 where a.rk = 10 and a.state <> 'S0')
 select state, round(median(abs(x - y)), 9) as median_abs, round(median((x - y) / abs(y)), 9) as median_rel, count(*) filter (x <> y) / count(*)::double as changed from d group by 1""")
 def feature_drift(spark, d):
-    truth, _ = curves_by_state(spark, d)
+    truth = by_state(spark, d, 0)
     at = {s: t.where(F.col("rk") == K).select("query_id", F.sqrt("sqdist").alias("x")) for s, t in truth.items()}
     both = stacked({s: at[s].join(at["S0"].withColumnRenamed("x", "y"), "query_id") for s in STATES[1:]})
     step = F.col("x") - F.col("y")
@@ -75,7 +75,7 @@ def stratum_breakdown(spark, d):
 p as (select split_part(state, '_', 1) as kind, split_part(state, '_', 2)::int as pct, query_id, overlap from o where state <> 'S0'),
 l as (select *, lag(overlap, 1, 10) over (partition by kind, query_id order by pct) as before from p) select kind, count(*) filter (overlap > before) as violations, sum(before - overlap)::bigint as lost from l group by 1""")
 def monotone_overlap(spark, d):
-    truth, _ = curves_by_state(spark, d)
+    truth = by_state(spark, d, 0)
     o = stacked({s: evolve.overlap(truth[s], truth["S0"], K) for s in STATES[1:]})
     o = o.withColumn("kind", F.split("state", "_")[0]).withColumn("pct", F.split("state", "_")[1].cast("int"))
     before = F.coalesce(F.lag("overlap").over(Window.partitionBy("kind", "query_id").orderBy("pct")), F.lit(K))
@@ -125,7 +125,7 @@ def state_checks(spark, d):
     base, queries, pool = parts(spark, d)
     n0 = base.count()
     alive = {s: evolve.live(base, pool, evolve.parse(s), n0)[1].select("vec_id") for s in STATES}
-    truth, _ = curves_by_state(spark, d)
+    truth = by_state(spark, d, 0)
     want = {s: n0 + (1 if s[0] == "i" else -1) * evolve.prefix(n0, evolve.parse(s).percent) for s in STATES}
     sizes = stacked(alive).groupBy("state").count().join(spark.createDataFrame(list(want.items()), "state string, want bigint"), "state").where("count <> want")
     count = lambda df, rule: df.agg(F.lit(rule).alias("rule"), F.count("*").alias("n"))

@@ -6,7 +6,9 @@ import hashlib
 import json
 import os
 import subprocess
+import tempfile
 import time
+import uuid
 from pathlib import Path
 
 import pyspark
@@ -132,6 +134,18 @@ def cached(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spooled(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the folder that the cluster shares (spark.checkpoint.dir; a temporary one where none is set), read back.
+
+    For tables that a plan uses several times: they are neither planned nor computed again, and a lost executor rereads them.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="halyard-")
+    path = f"{folder.rstrip('/')}/halyard/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Equal as multisets, without the columns that name the run."""
     keep = [c for c in a.columns if c in b.columns and c != "experiment_id"]
