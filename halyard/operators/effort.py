@@ -262,30 +262,51 @@ def contract_oracle(cands: DataFrame, share: float) -> DataFrame:
     return out.select(ok_all.alias("feasible"), F.when(ok_all, F.col("_t") / F.col("n")).alias("mean_cost"), F.when(ok_all, F.col("need") / F.col("n")).alias("success_rate"), (F.col("able") / F.col("n")).alias("achievable_rate"))
 
 
+def contract_regret(choices: DataFrame, cands: DataFrame) -> DataFrame:
+    """One row (success_rate, mean_cost, oracle_cost, contract_regret): what a policy of (query_id, choice) costs beyond the contract oracle at the success rate that it realises."""
+    mine = choices.select("query_id", F.col("choice").alias("j")).join(cands, ["query_id", "j"])
+    mine = mine.agg((F.count(F.when(F.col("success"), 1)) / F.count("*")).alias("success_rate"), (F.sum("cost") / F.count("*")).alias("mean_cost"))
+    rate = mine.first()["success_rate"]
+    best = contract_oracle(cands, rate or 0.0).select(F.col("mean_cost").alias("oracle_cost"))
+    return mine.crossJoin(best).withColumn("contract_regret", F.col("mean_cost") - F.col("oracle_cost"))
+
+
 def priced_choice(cands: DataFrame, price: float, k: int) -> DataFrame:
     """(query_id, j, hits, cost): the least of cost minus price times recall, ties to the first candidate."""
     key = F.struct((F.col("cost") - F.lit(price) * (F.col("hits") / F.lit(float(k)))).alias("v"), "j", "hits", "cost")
     return cands.groupBy("query_id").agg(F.min(key).alias("b")).select("query_id", "b.j", "b.hits", "b.cost")
 
 
-def lagrangian(cands: DataFrame, k: int, target: float, rounds: int = 60, most: float = 1e9) -> dict | None:
-    """The price at which the priced choices just reach a mean recall, by bisection; None if no choice reaches it.
+def lagrangian(cands: DataFrame, k: int, target: float) -> dict | None:
+    """The least price beyond which the priced choices reach a mean recall, with their recall and cost; None if none reaches it.
 
-    Each step is one aggregate over the table of candidates, which should be a written one.
+    As the price rises a query moves along the lower hull of its (hits, cost), so prices matter only where some query moves.
+    The moves are summed by price, then by octaves' parts of 1/64, of which the one that crosses the target is read exactly:
+    three aggregates, whatever the number of queries.
     """
-
-    def at(price: float) -> tuple[float, float]:
-        r = priced_choice(cands, price, k).agg((F.sum("hits") / (F.count("*") * F.lit(float(k)))).alias("r"), (F.sum("cost") / F.count("*")).alias("c")).first()
-        return r["r"], r["c"]
-
-    if at(most)[0] < target - SLACK:
-        return None
-    lo, hi = 0.0, most
-    for _ in range(rounds):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if at(mid)[0] >= target - SLACK else (mid, hi)
-    recall, cost = at(hi)
-    return {"price": hi, "recall": recall, "cost": cost}
+    points = cands.groupBy("query_id", "hits").agg(F.min("cost").alias("cost"))
+    n = cands.agg(F.count_distinct("query_id")).first()[0]
+    hull = points.groupBy("query_id").agg(F.collect_list(F.struct("hits", "cost")).alias("ps")).select("ps", F.explode("ps").alias("b"))
+    price = lambda lo, hi: (hi["cost"] - lo["cost"]) * F.lit(k) / (hi["hits"] - lo["hits"])
+    below = F.transform(F.filter("ps", lambda a: a["hits"] < F.col("b.hits")), lambda a: price(a, F.col("b")))
+    above = F.transform(F.filter("ps", lambda c: c["hits"] > F.col("b.hits")), lambda c: price(F.col("b"), c))
+    hull = hull.select("b.hits", "b.cost", F.greatest(F.lit(0.0), F.array_max(below)).alias("enter"), F.array_min(above).alias("leave")).where("leave is null or enter < leave")
+    on = F.struct(F.col("enter").alias("price"), F.col("hits").alias("h"), F.col("cost").alias("c"))
+    off = F.struct(F.col("leave").alias("price"), (-F.col("hits")).alias("h"), (-F.col("cost")).alias("c"))
+    moves = hull.select(F.explode(F.array(on, off)).alias("m")).select("m.*").where("price is not null").groupBy("price").agg(F.sum("h").alias("h"), F.sum("c").alias("c"))
+    moves = moves.withColumn("part", F.floor(F.log2(F.col("price") + 1) * 64)).persist()
+    hits = cost = 0
+    out, reached = None, lambda h: h / (n * float(k)) >= target - SLACK
+    for r in moves.groupBy("part").agg(F.sum("h").alias("h"), F.sum("c").alias("c")).orderBy("part").collect():
+        if reached(hits + r["h"]):
+            run = Window.orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
+            at = moves.where(F.col("part") == r["part"]).select("price", (F.sum("h").over(run) + hits).alias("h"), (F.sum("c").over(run) + cost).alias("c"))
+            at = at.where(F.col("h") / F.lit(n * float(k)) >= F.lit(target - SLACK)).orderBy("price").first()
+            out = {"price": at["price"], "recall": at["h"] / (n * float(k)), "cost": at["c"] / n}
+            break
+        hits, cost = hits + r["h"], cost + r["c"]
+    moves.unpersist()
+    return out
 
 
 def policy_metrics(choices: DataFrame, cands: DataFrame, oracle: DataFrame, m: int, probe: Column | None = None) -> DataFrame:

@@ -64,15 +64,15 @@ def contract_transitions(panel: DataFrame, k: int, first: str = "S0") -> DataFra
     return counts.withColumn("newly_failing_rate", F.try_divide(F.col("newly_failing"), F.col("newly_failing") + F.col("stable_pass")))
 
 
-def analyse(panel: DataFrame, reference: str, k: int, replicates: int = stats.REPLICATES, first: str = "S0") -> DataFrame:
+def analyse(panel: DataFrame, reference: str, k: int, replicates: int = stats.REPLICATES, first: str = "S0", index: np.ndarray | None = None) -> DataFrame:
     """(policy, state, cost_drift, cost_lo, cost_hi, cost_verdict, contract_drift, contract_lo, contract_hi, contract_verdict).
 
-    Queries are resampled once for everything; drifts are pooled over seeds within each replicate.  The panel's width on the
+    Queries are resampled once for everything, by `index` (replicates of positions in the order of ids) where it is given; drifts are pooled over seeds within each replicate.  The panel's width on the
     driver is one number for each query, policy, seed and state, as one resample matrix is shared.
     """
     rows = panel.select("policy", "seed", "state", "query_id", "cost", "hits").orderBy("policy", "seed", "state", "query_id").toPandas()
     ids = sorted(rows.query_id.unique())
-    w = stats.weights(stats.resamples(len(ids), replicates))
+    w = stats.weights(stats.resamples(len(ids), replicates) if index is None else index)
     seeds, states = sorted(rows.seed.unique()), [s for s in rows.state.drop_duplicates() if s != first]
     series = {key: g.sort_values("query_id") for key, g in rows.groupby(["policy", "seed", "state"])}
     cost = lambda p, s, t: series[p, s, t].cost.to_numpy(float)

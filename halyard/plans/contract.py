@@ -485,12 +485,17 @@ def priced_choice(spark, d):
     return effort.priced_choice(cands_of(spark, d), 300.0, K)
 
 
-@query()
+# every price at which some query is indifferent between two candidates, as a fraction, so that each choice is made in integers
+@query(TO_CURVE + CANDS + """,
+pr as (select distinct num // gcd(num, den) as num, den // gcd(num, den) as den from (select b.cost - a.cost as num, b.hits - a.hits as den from cand a join cand b on b.query_id = a.query_id and b.hits > a.hits and b.cost > a.cost) union select 0, 1),
+ch as (select num, den, query_id, arg_max(struct_pack(hits := hits, cost := cost), struct_pack(v := num * hits - cost * den, h := hits, c := -cost)) as b from pr, cand group by 1, 2, 3),
+priced as (select num * 10 / den::double as price, sum(b.hits) / (count(*) * 10.0::double) as recall, sum(b.cost) / count(*)::double as cost from ch group by num, den)
+select target, round(price, 9) as price, recall, cost from (select target, price, recall, cost, row_number() over (partition by target order by price) as r from (values (0.8::double), (0.95::double)) t(target), priced where recall >= target - 1e-9) where r = 1""")
 def lagrange_allocation(spark, d):
     c = cands_of(spark, d).persist()
-    got = [(t, effort.lagrangian(c, K, t, rounds=40)) for t in (0.8, 0.95)]
+    got = [(t, effort.lagrangian(c, K, t)) for t in (0.8, 0.95)]
     c.unpersist()
-    return spark.createDataFrame([(t, r["price"], r["recall"], r["cost"]) for t, r in got if r], "target double, price double, recall double, cost double")
+    return spark.createDataFrame([(t, r["price"], r["recall"], r["cost"]) for t, r in got if r], "target double, price double, recall double, cost double").withColumn("price", F.round("price", 9))
 
 
 @query(TO_CURVE + CANDS + PROBS + """,
@@ -667,9 +672,26 @@ def panel_validation(spark, d):
     return validity.violations(panel_of(spark, d), K, expected)
 
 
-@query()
+# draws by hash in place of the seeded generator, so that the SQL can follow; replicate -1 is the panel itself
+@query(TO_PANEL + """,
+ids as (select query_id, row_number() over (order by query_id) - 1 as pos, count(*) over () as n from (select distinct query_id from panel)), nq as (select max(n) as n from ids),
+wt as (select r, query_id, count(*)::double as w from (select r, ('0x' || substr(md5(r || ':' || s), 1, 8))::bigint % n as pos from range(0, 200) a(r), nq, range(0, nq.n) b(s)) join ids using (pos) group by 1, 2 union all select -1, query_id, 1.0::double from ids),
+co as (select r, policy, state, sum(w * cost) as c from panel join wt using (query_id) group by 1, 2, 3),
+ra as (select a.r, a.policy, a.state, a.c / b.c as x from co a join co b on b.r = a.r and b.policy = 'local' and b.state = a.state where a.policy <> 'local'),
+cd as (select a.r, a.policy, a.state, a.x / b.x - 1 as x from ra a join ra b on b.r = a.r and b.policy = a.policy and b.state = 'S0' where a.state <> 'S0'),
+coh as (select a.policy, a.query_id from panel a join panel b on b.policy = 'local' and b.state = 'S0' and b.query_id = a.query_id where a.state = 'S0' and a.policy <> 'local' and a.hits >= 10 and b.hits >= 10),
+nf as (select r, h.policy, t.state, coalesce(sum(w * ((a.hits < 10)::int - (b.hits < 10)::int)), 0) / greatest(coalesce(sum(w), 0), 1e-300) as x from (select distinct policy from panel where policy <> 'local') h, (select distinct state from panel where state <> 'S0') t, wt
+  left join coh on coh.policy = h.policy and coh.query_id = wt.query_id left join panel a on a.policy = h.policy and a.state = t.state and a.query_id = coh.query_id left join panel b on b.policy = 'local' and b.state = t.state and b.query_id = coh.query_id where coh.query_id is not null group by 1, 2, 3),
+dq as (select policy, state, 'cost' as q, r, x from cd union all select policy, state, 'contract', r, x from nf),
+iv as (select policy, state, q, max(x) filter (r = -1) as d, quantile_cont(x, 0.025) filter (r >= 0) as lo, quantile_cont(x, 0.975) filter (r >= 0) as hi from dq group by 1, 2, 3)
+select c.policy, c.state, round(c.d, 9) as cost_drift, round(c.lo, 9) as cost_lo, round(c.hi, 9) as cost_hi, round(k.d, 9) as contract_drift, round(k.lo, 9) as contract_lo, round(k.hi, 9) as contract_hi,
+case when c.lo >= -0.1::double and c.hi <= 0.1::double then 'STABLE' when c.lo > 0.1::double then 'STALE-COSTLIER' when c.hi < -0.1::double then 'STALE-CHEAPER' else 'INCONCLUSIVE' end as cost_verdict, case when k.lo >= -0.05::double and k.hi <= 0.05::double then 'STABLE' when k.lo > 0.05::double then 'STALE-WORSE' when k.hi < -0.05::double then 'STALE-BETTER' else 'INCONCLUSIVE' end as contract_verdict
+from iv c join iv k on k.policy = c.policy and k.state = c.state and k.q = 'contract' where c.q = 'cost'""")
 def validity_report(spark, d):
-    return validity.analyse(panel_of(spark, d), "local", K, replicates=200)
+    panel = spooled(panel_of(spark, d), "panel")
+    n = panel.select("query_id").distinct().count()
+    out = validity.analyse(panel, "local", K, index=stats.hashed_positions(n, 200))
+    return out.withColumns({c: F.round(c, 9) for c in ("cost_drift", "cost_lo", "cost_hi", "contract_drift", "contract_lo", "contract_hi")})
 
 
 # --- statistics ----------------------------------------------------------------------------------------------------

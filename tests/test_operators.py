@@ -148,8 +148,12 @@ def test_lagrangian_reaches_its_target(spark):
     r = np.random.default_rng(1)
     rows = [(q, j, int(min(10, h + r.integers(0, 3))), 10 * 2**j) for q in range(30) for j, h in enumerate([3, 6, 8, 10])]
     c = spark.createDataFrame(rows, "query_id bigint, j bigint, hits bigint, cost bigint").persist()
-    got = effort.lagrangian(c, 10, 0.8, rounds=30)
+    got = effort.lagrangian(c, 10, 0.8)
     assert got["recall"] >= 0.8 - 1e-9 and effort.lagrangian(c, 10, 1.5) is None
+    after = effort.priced_choice(c, got["price"] * (1 + 1e-9), 10).agg(F.avg("hits"), F.avg("cost")).first()
+    assert abs(after[0] - 10 * got["recall"]) < 1e-9 and abs(after[1] - got["cost"]) < 1e-9
+    before = effort.priced_choice(c, got["price"] * (1 - 1e-9), 10).agg(F.avg("hits")).first()[0]
+    assert before < 8
     cheaper = effort.priced_choice(c, got["price"] * 0.98, 10).agg(F.avg("hits")).first()[0]
     assert cheaper <= 10 * got["recall"] + 1e-9
 
