@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import os
 import subprocess
@@ -11,6 +12,8 @@ import time
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,3 +176,24 @@ def run_steps(spark: SparkSession, folder: str, steps: list[tuple[str, object]],
 
         out[name] = cached(spark, f"{folder}/{name}", step)
     return out
+
+
+def read_npz(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(row, values array<double>) of one array of an .npz file, in row order; a vector has one value a row.
+
+    The file is one object, so one task opens it, through Spark's own reader; objects (pickles) are refused, a missing array raises.
+    """
+    def rows(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with np.load(io.BytesIO(content), allow_pickle=False) as arrays:
+                    if name not in arrays:
+                        raise TableError(f"no array {name!r}: {sorted(arrays)}")
+                    x = np.atleast_1d(arrays[name]).astype(np.float64)
+                x = x.reshape(len(x), -1)
+                for at in range(0, len(x), 65536):
+                    part = x[at:at + 65536]
+                    ends = np.arange(len(part) + 1, dtype=np.int32) * x.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.ListArray.from_arrays(pa.array(ends), pa.array(part.ravel()))], names=["row", "values"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "row bigint, values array<double>")
