@@ -101,6 +101,12 @@ def _picked(once, several, alone: bool):
     return run
 
 
+def _picked_scan(once, several):
+    """Texts of one path are picked and scanned by one worker: two operators would keep two of them for each core."""
+    pick = _picked(once, several, True)
+    return lambda batches: _scan(pick(batches))
+
+
 def ledger_folder(spark) -> str:
     """The ledger of the cluster: it stays in the shared folder from run to run."""
     return f"{shared_dir(spark)}/halyard/secret-ledger"
@@ -130,9 +136,8 @@ def scan(docs: DataFrame, ledger: str | None = None, carry_text: bool = True) ->
     if new.head(1):
         keyed = only(docs, "text").select(blob.alias("blob"), text.alias("text")).withColumn("h", F.xxhash64("blob"))
         once, several = (spark.sparkContext.broadcast(bitmap(new.where(p).select(F.xxhash64("blob").alias("h")), "h")) for p in ("paths = 1", "paths > 1"))
-        single, copies = (keyed.mapInArrow(_picked(once, several, alone), "blob string, text string") for alone in (True, False))
-        copies = copies.groupBy("blob").agg(F.first("text").alias("text"))  # combined in each task before the shuffle
-        found = single.mapInArrow(_scan, FOUND).unionByName(copies.mapInArrow(_scan, FOUND))
+        copies = keyed.mapInArrow(_picked(once, several, False), "blob string, text string").groupBy("blob").agg(F.first("text").alias("text"))  # combined in each task before the shuffle
+        found = keyed.mapInArrow(_picked_scan(once, several), FOUND).unionByName(copies.mapInArrow(_scan, FOUND))
         # the filters of fixed size let some others through
         found.join(new, "blob", "left_semi").write.mode("append").parquet(folder)
     elif not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
