@@ -6,14 +6,14 @@ are still scanned, so they stay in the index and leave only the truth.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import squared_distance
-from . import ivf
-from .knn import exact_knn
+from . import ivf, knn
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,20 @@ def prefix(n0: int, percent: int) -> int:
     return n0 * percent // 100
 
 
+def among_first(vectors: DataFrame, salt: str, counts: list[int]) -> dict[int, Column]:
+    """For every count the condition that a row is among the first so many of `hash_order`, by the key of the last of these: no join is needed."""
+    rows = {r["pos"]: r["vec_id"] for r in hash_order(vectors, salt).where((F.col("pos") <= max(counts)) & F.col("pos").isin(*counts)).collect()}
+    key = F.md5(F.concat(F.lit(f"{salt}:"), F.col("vec_id").cast("string")))
+    out = {}
+    for c in counts:
+        if c in rows:
+            last = hashlib.md5(f"{salt}:{rows[c]}".encode()).hexdigest()
+            out[c] = (key < last) | ((key == last) & (F.col("vec_id") <= rows[c]))
+        else:  # none of them, or all of them
+            out[c] = F.lit(c > 0)
+    return out
+
+
 def live(base: DataFrame, pool: DataFrame, state: State, n0: int, order: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(scanned, live): what a search passes and what it may return."""
     cols = ["vec_id", "embedding"]
@@ -69,19 +83,47 @@ def live(base: DataFrame, pool: DataFrame, state: State, n0: int, order: DataFra
     if state.kind == "S0":
         return base.select(cols), base.select(cols)
     if state.kind == "del":
-        gone = hash_order(base, "del").where(F.col("pos") <= c).select("vec_id")
-        return base.select(cols), base.select(cols).join(gone, "vec_id", "left_anti")
-    order = hash_order(pool, "id") if order is None else order
-    new = pool.select(cols).join(order.where(F.col("pos") <= c).select("vec_id"), "vec_id", "left_semi")
+        return base.select(cols), base.select(cols).where(~among_first(base, "del", [c])[c])
+    if order is None:
+        new = pool.select(cols).where(among_first(pool, "id", [c])[c])
+    else:
+        new = pool.select(cols).join(order.where(F.col("pos") <= c).select("vec_id"), "vec_id", "left_semi")
     both = base.select(cols).unionByName(new)
     return both, both
 
 
+def flagged(base: DataFrame, pool: DataFrame, states: list[str], n0: int) -> DataFrame:
+    """(vec_id, embedding, scanned, live): every vector that some state scans; bit i of the last two is the state at i, as in `live`."""
+    at = {s: parse(s) for s in states}
+    counts = lambda kind: [prefix(n0, x.percent) for x in at.values() if x.kind == kind]
+    gone = among_first(base, "del", counts("del")) if counts("del") else {}
+    new = among_first(pool, "id", counts("id")) if counts("id") else {}
+    bits = lambda conditions: sum((F.when(c, F.lit(1 << i)).otherwise(0).cast("bigint") for i, c in enumerate(conditions)), F.lit(0).cast("bigint"))
+    own = bits([~gone[prefix(n0, x.percent)] if x.kind == "del" else F.lit(True) for x in at.values()])
+    added = bits([new[prefix(n0, x.percent)] if x.kind == "id" else F.lit(False) for x in at.values()])
+    return (base.select("vec_id", "embedding", F.lit((1 << len(at)) - 1).cast("bigint").alias("scanned"), own.alias("live"))
+            .unionByName(pool.select("vec_id", "embedding", added.alias("scanned"), added.alias("live")).where("live <> 0")))
+
+
+def state_truths(base: DataFrame, pool: DataFrame, queries: DataFrame, states: list[str], k: int, n0: int) -> DataFrame:
+    """(state, query_id, rk, vec_id, sqdist): the exact neighbours in every state, from one pass over all vectors."""
+    return knn.exact_knn_by_group(flagged(base, pool, states, n0), queries, k, states)
+
+
+def state_curves(base: DataFrame, pool: DataFrame, queries: DataFrame, states: list[str], cells: int, truth: DataFrame, n0: int) -> DataFrame:
+    """(state, query_id, ef, hits, dc) of every state; the anchors are those of the base, as the index was built, and each vector is assigned once."""
+    every, centres = flagged(base, pool, states, n0), ivf.anchors(base, cells).toArrow()
+    scans = F.explode(F.filter(F.array(*[F.when(F.col("scanned").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(s)) for i, s in enumerate(states)]), lambda x: x.isNotNull()))
+    cell = ivf.assign(every, centres, "scanned").select(scans.alias("state"), "vec_id", "cell")
+    order = ivf.probe_order(queries, centres, cells).select(F.explode(F.array(*[F.lit(s) for s in states])).alias("state"), "query_id", "cell", "ef")
+    return ivf.curve(order, cell, truth, cells, ("state",))
+
+
 def state_curve(base: DataFrame, pool: DataFrame, queries: DataFrame, state: State, cells: int, k: int, n0: int) -> tuple[DataFrame, DataFrame]:
     """(truth, curve) of one state; the anchors are those of the base, as the index was built."""
     scanned, alive = live(base, pool, state, n0)
-    centres = ivf.anchors(base, cells)
-    truth = exact_knn(alive, queries, k)
+    centres = ivf.anchors(base, cells).toArrow()
+    truth = knn.exact_knn(alive, queries, k)
     return truth, ivf.curve(ivf.probe_order(queries, centres, cells), ivf.assign(scanned, centres), truth, cells)
 
 

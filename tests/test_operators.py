@@ -322,3 +322,53 @@ def test_trees_round_to_single_precision(spark):
     export = {"kind": "tree", "classes": [0, 1], "features": ["a"], "root": {"feature": "a", "threshold": float(np.float32(0.1)), "low": {"p": [1.0, 0.0]}, "high": {"p": [0.0, 1.0]}}}
     df = spark.createDataFrame([(0.1,), (float(np.float32(0.1)),), (0.11,)], "a double")
     assert [r[0] for r in df.select(models.probability(export, 1)).collect()] == [0.0, 0.0, 1.0]
+
+
+def one_batch(labels, vectors):
+    import pyarrow as pa
+
+    n, dim = vectors.shape
+    return pa.RecordBatch.from_arrays([pa.array(labels), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(vectors.ravel()))], names=["vec_id", "embedding"])
+
+
+def test_knn_memory_of_a_task_is_a_few_tiles():
+    """Distances of all queries to a block of the base at once were 8 bytes a pair, several times over."""
+    import tracemalloc
+
+    r = np.random.default_rng(8)
+    q, x = r.normal(size=(8000, 4)), r.normal(size=(4096, 4)).astype(np.float32)
+    tracemalloc.start()
+    list(knn._nearest(np.arange(8000), q, 10)(iter([one_batch(np.arange(4096), x)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_knn_is_the_same_to_the_last_bit(shift):
+    """Copies, ties and vectors far from the origin, where a product of matrices cancels; with groups, each is as if it stood alone."""
+    r = np.random.default_rng(9)
+    x, q = (r.normal(size=(3000, 16)) + shift).astype(np.float32), (r.normal(size=(300, 16)) + shift).astype(np.float32)
+    x[500:900], q[3] = x[7], x[7]
+    names, live = r.permutation(3000), r.integers(0, 8, 3000)
+    best = knn.Nearest(q, 10, 3)
+    for at in range(0, 3000, 1300):
+        best.see(names[at:at + 1300], x[at:at + 1300], live[at:at + 1300])
+    for g in range(3):
+        mine = live >> g & 1 == 1
+        d = knn.squared_distances(q, x[mine])
+        i = np.broadcast_to(names[mine], d.shape)
+        o = np.lexsort((i, d), axis=1)[:, :10]
+        assert np.array_equal(best.d[g], np.take_along_axis(d, o, 1)) and np.array_equal(best.i[g], np.take_along_axis(i, o, 1))
+
+
+def test_states_in_one_pass_are_those_one_by_one(spark, cloud):
+    _, _, base, queries = cloud
+    pool = table(spark, np.random.default_rng(5).normal(size=(60, 8)), first=1000)
+    names = ["S0", "id_2", "id_8", "del_2", "del_8"]
+    truth = evolve.state_truths(base, pool, queries, names, 10, 300)
+    curve = evolve.state_curves(base, pool, queries, names, 12, truth, 300)
+    for s in names:
+        one, own = evolve.state_curve(base, pool, queries, evolve.parse(s), 12, 10, 300)
+        assert sorted(map(tuple, truth.where(F.col("state") == s).drop("state").collect())) == sorted(map(tuple, one.collect()))
+        assert sorted(map(tuple, curve.where(F.col("state") == s).drop("state").collect())) == sorted(map(tuple, own.collect()))
