@@ -54,9 +54,9 @@ def sensitivity(curve: DataFrame, k: int, targets: tuple[float, ...]) -> DataFra
     return out
 
 
-def fixed_curve(curve: DataFrame, k: int, target: float = 1.0) -> DataFrame:
-    """(ef, mean_recall, mean_dc, failure_rate) of using one effort for all queries."""
-    return curve.groupBy("ef").agg((F.sum("hits") / (F.count("*") * F.lit(float(k)))).alias("mean_recall"), (F.sum("dc") / F.count("*")).alias("mean_dc"),
+def fixed_curve(curve: DataFrame, k: int, target: float = 1.0, *by: str) -> DataFrame:
+    """(by..., ef, mean_recall, mean_dc, failure_rate) of using one effort for all queries."""
+    return curve.groupBy(*by, "ef").agg((F.sum("hits") / (F.count("*") * F.lit(float(k)))).alias("mean_recall"), (F.sum("dc") / F.count("*")).alias("mean_dc"),
                                    (F.count(F.when(F.col("hits") < need(k, target), 1)) / F.count("*")).alias("failure_rate"))
 
 
@@ -96,9 +96,9 @@ def tiers(labels: DataFrame, low: int, mid: int, high: int) -> DataFrame:
 # --- policies ------------------------------------------------------------------------------------------------------
 
 
-def lookup(curve: DataFrame, policy: DataFrame) -> DataFrame:
+def lookup(curve: DataFrame, policy: DataFrame, *by: str) -> DataFrame:
     """The curve's hits and dc at each query's assigned effort; an effort that the curve lacks is an error."""
-    at = policy.join(curve.select("query_id", "ef", "hits", "dc"), ["query_id", "ef"], "left")
+    at = policy.join(curve.select(*by, "query_id", "ef", "hits", "dc"), [*by, "query_id", "ef"], "left")
     missing = F.raise_error(F.concat(F.lit("no curve point for query "), F.col("query_id").cast("string"), F.lit(" at effort "), F.col("ef").cast("string")))
     return at.withColumn("hits", F.when(F.col("hits").isNull(), missing.cast("bigint")).otherwise(F.col("hits")))
 
