@@ -78,7 +78,7 @@ def cut_out(docs: DataFrame, intervals: DataFrame, cut, schema: str) -> DataFram
     """`cut` over every row of docs: batches of (doc_id, text, cuts), cuts null where nothing is removed.
 
     Texts that a filter of fixed size knows to be left alone are cut where they are read; only the others are shuffled
-    to meet their intervals (doc_id, t, lo, hi).
+    to meet their intervals (doc_id, t, lo, hi), even if these could be broadcast: both functions would then be in one stage.
     """
     cuts = stash(intervals.groupBy("doc_id", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")), "cuts")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(cuts.select(F.xxhash64("doc_id", "t").alias("h")), "h"))
@@ -94,7 +94,7 @@ def cut_out(docs: DataFrame, intervals: DataFrame, cut, schema: str) -> DataFram
         for b in batches:
             yield b.filter(pa.array(in_bitmap(bits.value, b["h"].to_numpy()))).select(["doc_id", "t", "text"])
 
-    met = texts.mapInArrow(inside, "doc_id bigint, t bigint, text string").join(cuts, ["doc_id", "t"], "left").select("doc_id", "text", "cuts")
+    met = texts.mapInArrow(inside, "doc_id bigint, t bigint, text string").join(cuts.hint("merge"), ["doc_id", "t"], "left").select("doc_id", "text", "cuts")
     return texts.mapInArrow(outside, schema).unionByName(met.mapInArrow(cut, schema))
 
 
@@ -164,11 +164,15 @@ class Heads:
         new = self.several.where("here > head").select("doc_id", "t", "lo", (F.col("lo") + F.col("n") + size - 1).alias("hi"))
         return new.unionByName(self.runs.where("kind = 1").select("doc_id", "t", "lo", (F.col("lo") + F.col("n")).alias("hi")))
 
-    def first(self) -> DataFrame:
-        """(a, r, doc_id, lo) of the first of the runs that are alike."""
-        names = ["a", "r", "doc_id", "lo"]
-        alone = self.runs.where("kind = 0").select(*names).mapInArrow(_picked(self.bits, False), "a bigint, r bigint, doc_id bigint, lo bigint")
-        return alone.unionByName(self.several.where("head is null or here = head").select(*names))
+    def first(self, run, schema: str) -> DataFrame:
+        """`run` over batches of (a, r, doc_id, lo) of the first of the runs that are alike.
+
+        Rows are picked by the same Python workers: a second function above the first one in a stage would double the workers of every
+        executor, which live on after their tasks.
+        """
+        names, picked = ["a", "r", "doc_id", "lo"], _picked(self.bits, False)
+        alone = self.runs.where("kind = 0").select(*names).mapInArrow(lambda batches: run(picked(batches)), schema)
+        return alone.unionByName(self.several.where("head is null or here = head").select(*names).mapInArrow(run, schema))
 
 
 def batch(names: list[str], columns) -> pa.RecordBatch:

@@ -347,7 +347,7 @@ def repeated_bytes(docs: DataFrame, size: int = 100, gram: int = GRAM) -> DataFr
     kinds = stash(kinds, "byte-anchors")
     unlike, hot = (spark.sparkContext.broadcast(bitmap(x, "a")) for x in (kinds, kinds.where(F.col("m") > MOST_STRINGS)))
     heads = Heads(runs, True, "byte-heads")
-    firsts = spark.sparkContext.broadcast(bitmap(heads.first().mapInArrow(_names(unlike), "h bigint"), "h"))
+    firsts = spark.sparkContext.broadcast(bitmap(heads.first(_names(unlike), "h bigint"), "h"))
     strings = texts.mapInArrow(_strings(size, gram, unlike, hot, firsts), "a bigint, doc_id bigint, t bigint, lo bigint, n bigint, s binary")
     shards = strings.repartition("a").sortWithinPartitions("a").mapInArrow(_shards(size), "doc_id bigint, t bigint, lo bigint, hi bigint")
     single = stash(texts.mapInArrow(_windows(size, gram, hot), RUNS), "byte-windows")

@@ -1,13 +1,14 @@
 """Near-duplicates and repeated passages against brute force; odd inputs."""
 
 import random
+import re
 
 import brute
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from halyard.llm import blocks, common, kernel, minhash, suffix
+from halyard.llm import blocks, common, kernel, minhash, repeats, suffix
 
 TEXT = "doc_id bigint, text string"
 
@@ -153,6 +154,37 @@ def test_repeated_bytes(spark, seed, monkeypatch):
     assert suffix.remove_repeats(spark.createDataFrame([], TEXT)).count() == 0
 
 
+def test_repeated_bytes_take_one_worker_a_task(spark, monkeypatch):
+    """No stage runs a Python function on what another one of it returns, as that takes two workers a task."""
+    plans = []
+
+    def seen(f):
+        return lambda df, *rest: (plans.append(df), f(df, *rest))[1]
+
+    for module in (suffix, repeats):
+        for name in ("stash", "bitmap"):
+            monkeypatch.setattr(module, name, seen(getattr(module, name)))
+    rows = [(i, f"{i % 7} " * 100 + str(i) * 40) for i in range(30)]
+    plans.append(suffix.remove_repeats(spark.createDataFrame(rows, TEXT), 40, 12))
+    maps = 0
+    for df in plans:
+        above = []
+        for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+            deep = re.search(r"[A-Za-z]", line)
+            if not deep:
+                continue
+            above = [x for x in above if x[0] < deep.start()] + [(deep.start(), re.match(r"\w+", line[deep.start():])[0])]
+            if above[-1][1] == "MapInArrow":
+                maps += 1
+                stage = []
+                for _, name in reversed(above[:-1]):
+                    if "Exchange" in name:
+                        break
+                    stage.append(name)
+                assert "MapInArrow" not in stage, line
+    assert maps >= 10
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     for k in range(200):
