@@ -1,5 +1,7 @@
 """Operators against hand cases, second implementations and properties that must hold."""
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -412,3 +414,16 @@ def test_a_graph_reaches_the_driver_through_arrow(spark, monkeypatch):
     for name in ("collect", "first", "head", "take"):
         monkeypatch.setattr(DataFrame, name, lambda *a: pytest.fail("a pickled row"))
     assert flows.graph_of(spark, "/root/testdata/sf0.001") == want
+
+
+def test_a_pickled_graph_holds_its_vectors_once():
+    x = np.random.default_rng(3).normal(size=(400, 64)).astype(np.float32)
+    g = graph.Graph(4, 16, 1)
+    g.add(range(300), x[:300])
+    blob = pickle.dumps(g)
+    assert len(blob) < 300 * 64 * 8 * 1.4
+    again = pickle.loads(blob)
+    g.add(range(300, 400), x[300:])
+    again.add(range(300, 400), x[300:])
+    assert again.links == g.links and again.search(x[0], 5, 16) == g.search(x[0], 5, 16) and np.array_equal(again.array(), g.array())
+    assert pickle.loads(pickle.dumps(graph.Graph())).ids == []
